@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Documents a block holds on average, and the most blocks of a source.
-BLOCK_DOCS, MOST_BLOCKS = 64, 4096
+BLOCK_DOCS, MOST_BLOCKS = 16, 4096
 #: Sources up to this number are joined by broadcast, more by a salted shuffle.
 BROADCAST_SOURCES, SALTS = 200_000, 32
 
