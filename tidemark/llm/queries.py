@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash, mixing, pii
+from . import language_id, minhash, mixing, pii, toxicity
 from .common import table
 
 
@@ -22,12 +22,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_mixing, op7_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_mixing, op5_toxicity, op7_pii, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
