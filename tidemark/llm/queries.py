@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash, mixing, pii, toxicity
+from . import language_id, minhash, mixing, pieces, pii, quality, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -30,8 +34,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_mixing, op5_toxicity, op7_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_mixing, op5_toxicity, op7_pii, op9_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vectext
+from . import logistic, vectext
 from .language_id import held_out_fold
 
 #: Labelled rows per class that the models are fitted on, at most.
@@ -120,22 +120,6 @@ def _features(model: _Model, column) -> np.ndarray:
     return np.stack([mean * 10, strong / np.sqrt(n), strong / n * 10, np.log(n), np.log1p(strong)], 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of a ridge logistic regression by Newton steps, with the scaling of x."""
-    centre, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.hstack([np.ones((len(x), 1)), (x - centre) / scale])
-    w = np.zeros(z.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (weight * (p - y)) + ridge * w
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, g)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w, centre, scale
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> dict | None:
     """The two class models and the logistic function, from labelled documents."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("cls"))
@@ -176,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     x, y = np.stack(later["x"].to_numpy()), later["cls"].to_numpy().astype(float)
     # the sample holds classes in other parts than the labels do
     weight = np.where(y == 1, rates[1] / (y == 1).sum(), rates[0] / (y == 0).sum())
-    return {"model": model, "logistic": _logistic(x, y, weight / weight.mean())}
+    return {"model": model, "logistic": logistic.fit(x, y, weight / weight.mean())}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -189,9 +173,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             for part in vectext.slices(batch):
                 p = np.zeros(part.num_rows)
                 if m:
-                    w, centre, scale = m["logistic"]
-                    z = (_features(m["model"], part.column(1)) - centre) / scale
-                    p = 1 / (1 + np.exp(-np.clip(w[0] + z @ w[1:], -30, 30)))
+                    p = logistic.sigmoid(logistic.predict(m["logistic"], _features(m["model"], part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(p, 9))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

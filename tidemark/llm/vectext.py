@@ -70,6 +70,26 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) ->
         i = j
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; the spans are in order and don't overlap."""
+    code = _BYTE_LOWER if lower else _BYTE
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
+        last = int(ends[j - 1])
+        n = last - base
+        power, inverse = (_POW, _INV) if n <= len(_POW) else (_powers(_M, n), _powers(_M_INV, n))
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(code[data[base:last]] * power[:n], out=sums[1:])
+        s = starts[i:j] - base
+        out[i:j] = (sums[ends[i:j] - base] - sums[s]) * inverse[s]
+        i = j
+    return mix(out)
+
+
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word in order, and the words per row."""
     size = len(data)
@@ -86,23 +106,8 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.nd
     after[-1] = True
     np.logical_or(space[1:], edge[1:-1], out=after[:-1])
     ends = np.flatnonzero(~space & after) + 1
-    code = _BYTE_LOWER if lower else _BYTE
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
-        last = int(ends[j - 1])
-        n = last - base
-        power, inverse = (_POW, _INV) if n <= len(_POW) else (_powers(_M, n), _powers(_M_INV, n))
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(code[data[base:last]] * power[:n], out=sums[1:])
-        s = starts[i:j] - base
-        out[i:j] = (sums[ends[i:j] - base] - sums[s]) * inverse[s]
-        i = j
     counts = np.diff(np.searchsorted(starts, offs))
-    return mix(out), starts, ends, counts
+    return hashes(data, starts, ends, lower), starts, ends, counts
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
