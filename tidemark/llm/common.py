@@ -44,6 +44,23 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """A table dealt by its keys in as many buckets as shuffles have partitions.
+
+        Later joins on the keys read it without moving it again.
+        """
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, *keys).option("path", self.path(name)).saveAsTable(self._name(name))
+        return self.spark.table(self._name(name))
+
+    def drop_bucketed(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"drop table if exists {self._name(name)}")
+        self.drop(*names)
+
+    def _name(self, name: str) -> str:
+        return f"{name}_{self.root.rpartition('-')[2]}"
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash, mixing, pieces, pii, quality, toxicity
+from . import jaccard_join, language_id, minhash, mixing, pieces, pii, quality, toxicity
 from .common import table
 
 
@@ -34,12 +34,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_mixing, op5_toxicity, op7_pii, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_mixing, op5_toxicity, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
