@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, minhash, mixing, pieces, pii, quality, toxicity
+from . import jaccard_join, language_id, minhash, mixing, multi_index, pieces, pii, quality, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_mixing, op5_toxicity, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_mixing, op5_toxicity, op6_multi_index, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
