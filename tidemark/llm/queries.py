@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, minhash, mixing, multi_index, pieces, pii, quality, toxicity
+from . import jaccard_join, language_id, lm_trie, minhash, mixing, multi_index, pieces, pii, quality, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.model_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_mixing, op5_toxicity, op6_multi_index, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_lm_trie, op4_mixing, op5_toxicity, op6_multi_index, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
