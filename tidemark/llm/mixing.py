@@ -173,6 +173,7 @@ def mix(
     drawn_now = F.when(F.col("extra") > 0, F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.col("passes").cast("int")))
     return all_docs.select(
         "doc_id",
+        "source",
         "size",
         "source_size",
         "target",
@@ -184,12 +185,18 @@ def mix(
 def materialise(docs: DataFrame, text: str = "text", seed: int = 17, **how) -> DataFrame:
     """The mixed documents themselves: each as often as it is drawn, the last draw cut.
 
-    Keeps the columns of the input. doc_id must tell rows apart. The rows of a shard are
+    Keeps the columns of the input. The rows of a shard are
     written together, in an order that a hash of id and draw shuffles.
     """
-    taken = mix(docs, text=text, seed=seed, **how).where(F.col("taken") > 0)
-    taken = taken.select("doc_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.posexplode("shards").alias("_draw", "_shard"))
-    out = docs.join(taken, "doc_id")
+    # rows that share an id, or have none, are told apart by source, size and number
+    own = Window.partitionBy("_id").orderBy("_source", "_size")
+    number = F.row_number().over(own).alias("_number")
+    taken = mix(docs, text=text, seed=seed, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "shards")
+    taken = taken.select(F.col("_id").alias("_same"), F.col("_size"), "_taken", "shards", F.row_number().over(own).alias("_place")).where("_taken > 0")
+    taken = taken.select("_same", "_place", "_size", "_taken", F.posexplode("shards").alias("_draw", "_shard"))
+    numbered = docs.select(*docs.columns, F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col(text)).alias("_size"))
+    numbered = numbered.select(*docs.columns, "_id", number)
+    out = numbered.join(taken, F.col("_id").eqNullSafe(F.col("_same")) & (F.col("_number") == F.col("_place")))
     left = F.col("_taken") - F.col("_draw") * F.col("_size")
     parts = F.split(F.regexp_replace(F.col(text), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     cut = F.array_join(F.slice(parts, F.lit(1), left.cast("int")), " ")
