@@ -5,41 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def recon_header_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detail = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("det"))
-    head = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("hdr"))
-    joined = head.join(detail, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    gap = F.abs(F.col("hdr") - F.col("det")).cast("double")
-    verdict = (
-        F.when(F.col("det").isNull(), "unmet")
-        .when(gap > F.greatest(F.lit(100.0), F.abs(F.col("hdr")).cast("double") * 0.005), "divergent")
-        .otherwise("ok")
-    )
-    return joined.select("o_orderkey", F.col("hdr").cast("double").alias("header"), F.col("det").cast("double").alias("detail"), verdict.alias("verdict"))
-
-
-_QUERIES = {"recon_header_detail": recon_header_detail}
-_ORACLE = {
-    "recon_header_detail": """
-with d as (select l_orderkey, sum(cast(l_extendedprice as decimal(18,2))) det from lineitem group by l_orderkey),
-j as (select o_orderkey, cast(o_totalprice as decimal(18,2)) hdr, det from orders left join d on l_orderkey = o_orderkey)
-select o_orderkey, cast(hdr as double) as header, cast(det as double) as detail,
-       case when det is null then 'unmet'
-            when cast(abs(hdr - det) as double) > greatest(100.0, cast(abs(hdr) as double) * 0.005) then 'divergent' else 'ok' end as verdict
-from j"""
-}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    from . import facts, labels, model  # noqa: F401  the modules register themselves
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLE)
