@@ -92,17 +92,15 @@ with r as (select o_orderkey, case o_orderkey % 8 when 0 then strftime(o_orderda
   when 5 then strftime(o_orderdate, '%y') || ', 24' when 6 then 'L24M' else strftime(o_orderdate, '%y') end as ref, o_orderdate as d, year(o_orderdate) as y from orders)
 select o_orderkey, case o_orderkey % 8 when 0 then strftime(d, '%Y-%m-%d') when 1 then cast(y as varchar) when 2 then ref when 3 then ref
   when 4 then cast(quarter(d) as varchar) || 't' || y when 5 then array_to_string(list_sort([cast(y as varchar), '2024']), ',') when 6 then 'l24m' else cast(y as varchar) end as canonical,
-  case when o_orderkey % 8 = 5 then y || '|2024' when o_orderkey % 8 in (0, 1, 2, 7) then cast(y as varchar) else '' end as years from r""")
+  case when o_orderkey % 8 = 5 then y || '|2024' when o_orderkey % 8 = 6 then '' else cast(y as varchar) end as years from r""")
 def canonical_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates written in eight notations; years only where a token is a year of four digits."""
+    """Dates written in eight notations; the years of each."""
     d = F.col("o_orderdate")
     y2, y4 = F.date_format(d, "yy"), F.date_format(d, "yyyy")
     forms = [F.date_format(d, "dd/MM/yyyy"), F.concat(F.lit("12M"), y2), F.date_format(d, "yyyy-MM-dd"), F.concat(F.lit("3m"), y4), F.concat(F.quarter(d).cast("string"), F.lit("T"), y2), F.concat(y2, F.lit(", 24")), F.lit("L24M"), y2]
     ref = F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int"))
     rows = read(spark, sf_dir, "orders").select("o_orderkey", ref.alias("ref"))
-    # a month or quarter runs into its year, so its token has no year of four digits of its own
-    years = F.when((F.col("o_orderkey") % 8).isin(3, 4), F.lit("")).otherwise(F.array_join(period.years(F.col("ref")), "|"))
-    return rows.select("o_orderkey", period.canonical(F.col("ref")).alias("canonical"), years.alias("years"))
+    return rows.select("o_orderkey", period.canonical(F.col("ref")).alias("canonical"), F.array_join(period.years(F.col("ref")), "|").alias("years"))
 
 
 @query("""

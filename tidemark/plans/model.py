@@ -43,9 +43,9 @@ def amortisation_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with y as ({_YEARLY}), d as (select line, v, unnest(range(year + 1, least(year + 4, 2001) + 1)) as due_year from y where year < 2001)
-select line, cast(due_year as integer) as due_year, round(sum(v / 4), 2) as amortised from d group by line, due_year""")
+select line, cast(due_year as integer) as due_year, round(sum(v / 4), 4) as amortised from d group by line, due_year""")
 def vintage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.vintages(_yearly(spark, sf_dir), _K, "year", "v", 4, 2001).withColumn("amortised", F.round("amortised", 2))
+    return project.vintages(_yearly(spark, sf_dir), _K, "year", "v", 4, 2001).withColumn("amortised", F.round("amortised", 4))
 
 
 @query(f"""with recursive y as ({_YEARLY}), f as (select line, year, round((v - 300000000 - (year - 1995) * 20000000) / 1000000, 3) as x, row_number() over (partition by line order by year) as k from y),
