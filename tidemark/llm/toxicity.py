@@ -5,8 +5,8 @@ discounted into the class's unigram continuation counts, and those into the back
 both classes share, so an expression that neither class has seen weighs nothing. A text's
 evidence is the difference of its two log-likelihoods; divided by its number of words it
 is the mean evidence. The score is a logistic function, fitted on training rows that the
-models have not seen, of that mean, of the evidence of the words that speak for toxicity
-alone, and of the length.
+models have not seen, of that mean, of the evidence of the words that speak strongly for
+toxicity alone, and of the length.
 
 The models are fitted on at most SAMPLE labelled rows a class, the first by a hash of the
 id; word counts are made by Spark, and the driver sees the counts of that bounded sample.
@@ -30,13 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import logistic, vectext
+from .common import Scratch
 from .language_id import held_out_fold
 
 #: Labelled rows per class that the models are fitted on, at most.
 SAMPLE = 6000
-DISCOUNT = 0.75
+#: Taken off every count: expressions seen no more often than this are left to the shared backoff.
+DISCOUNT = 3.0
 #: Bigrams seen less often in a class are left to the unigrams.
-LEAST = 2
+LEAST = 6
+#: Evidence counts as strong from this part of the most that a word can have.
+STRONG = 0.6
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,13 +59,12 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class _Model:
     """Log-probability ratios of words and bigrams, looked up by hash."""
 
-    def __init__(self, word, log_word, pair, log_pair, history, log_back):
+    def __init__(self, word, log_word, pair, log_pair, strong):
+        self.strong = strong
         order = np.argsort(word)
-        self.word, self.log_word = word[order], log_word[:, order]
+        self.word, self.ratio = word[order], (log_word[0] - log_word[1])[order]
         order = np.argsort(pair)
         self.pair, self.log_pair = pair[order], log_pair[order]
-        order = np.argsort(history)
-        self.history, self.back = history[order], log_back[:, order]
 
     @staticmethod
     def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -75,49 +78,51 @@ class _Model:
     def evidence(self, h: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """log p(word | before, toxic) - log p(word | before, ordinary) of each word."""
         w = self._find(self.word, h)
-        known = w >= 0
-        out = np.where(known, self.log_word[0][w] - self.log_word[1][w], 0.0) if len(self.word) else np.zeros(len(h))
+        out = np.where(w >= 0, self.ratio[w], 0.0) if len(self.word) else np.zeros(len(h))
         p = self._find(self.pair, pair)
         return np.where(p >= 0, self.log_pair[p], out) if len(self.pair) else out
 
 
-def _fit(rows) -> _Model:
-    """rows: class, history, word, count of every bigram (history 1: start) of the fitted part."""
-    cls, hist, word, n = (rows[c].to_numpy() for c in ("cls", "a", "b", "n"))
-    hist, word = hist.view(np.uint64), word.view(np.uint64)
-    words, at = np.unique(word, return_inverse=True)
-    # continuation counts: distinct histories, per class; both classes share the backoff
-    follow = np.stack([np.bincount(at, weights=cls == c, minlength=len(words)) for c in (1, 0)])
+def _fit(words: pa.Table, histories: pa.Table, pairs: pa.Table) -> _Model:
+    """The ratios from counts per class (first toxic, then ordinary).
+
+    words: word, f1, f0 (distinct histories of the word); histories: a, t1, t0 (bigrams that
+    begin with it), y1, y0 (what the discount takes off them); pairs: a, b, n1, n0 (the bigrams that are kept).
+    """
+    two = lambda t, x: np.stack([t[f"{x}1"].to_numpy(), t[f"{x}0"].to_numpy()]).astype(np.float64)
+    word = words["word"].to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    word, follow = word[order], two(words, "f")[:, order]
     total = follow.sum(1, keepdims=True)
-    types = (follow > 0).sum(1, keepdims=True)
+    left = np.minimum(follow, DISCOUNT).sum(1, keepdims=True) / total
+    # both classes share the backoff
     shared = follow.sum(0)
-    shared = (shared + 0.5) / (shared.sum() + 0.5 * (len(words) + 1))
-    uni = np.maximum(follow - DISCOUNT, 0) / total + DISCOUNT * types / total * shared
-    # bigrams kept in either class, discounted into the unigrams of their class
-    pairs, where = np.unique(_pair(hist, word), return_inverse=True)
-    count = np.stack([np.bincount(where, weights=n * (cls == c), minlength=len(pairs)) for c in (1, 0)])
-    first = np.zeros(len(pairs), np.int64)
-    first[where] = np.arange(len(where))
-    histories, h_at = np.unique(hist, return_inverse=True)
-    h_total = np.stack([np.bincount(h_at, weights=n * (cls == c), minlength=len(histories)) for c in (1, 0)])
-    h_types = np.stack([np.bincount(h_at, weights=cls == c, minlength=len(histories)) for c in (1, 0)])
-    keep = np.flatnonzero(count.max(0) >= LEAST)
-    hk, wk = h_at[first[keep]], at[first[keep]]
-    safe = np.maximum(h_total[:, hk], 1)
-    back = np.where(h_total[:, hk] > 0, DISCOUNT * h_types[:, hk] / safe, 1.0)
-    prob = np.maximum(count[:, keep] - DISCOUNT, 0) / safe + back * uni[:, wk]
-    ratio = np.log(prob[0]) - np.log(prob[1])
-    return _Model(words, np.log(uni), pairs[keep], ratio, np.zeros(0, np.uint64), np.zeros((2, 0)))
+    shared = (shared + 0.5) / (shared.sum() + 0.5 * (len(word) + 1))
+    uni = np.maximum(follow - DISCOUNT, 0) / total + left * shared
+    a = histories["a"].to_numpy().view(np.uint64)
+    order = np.argsort(a)
+    h_total, h_types = two(histories, "t")[:, order], two(histories, "y")[:, order]
+    hist, last = pairs["a"].to_numpy().view(np.uint64), pairs["b"].to_numpy().view(np.uint64)
+    h, w = np.searchsorted(a[order], hist), np.searchsorted(word, last)
+    safe = np.maximum(h_total[:, h], 1)
+    back = np.where(h_total[:, h] > 0, h_types[:, h] / safe, 1.0)
+    prob = np.maximum(two(pairs, "n") - DISCOUNT, 0) / safe + back * uni[:, w]
+    most = float(np.log(total.sum() / (total[0, 0] * left[1, 0])))
+    return _Model(word, np.log(uni), _pair(hist, last), np.log(prob[0]) - np.log(prob[1]), STRONG * most)
 
 
 def _features(model: _Model, column) -> np.ndarray:
-    """Per text: mean evidence, evidence of its toxic words over a slowly growing length, log length."""
+    """Per text: mean evidence, that of its strong words alone, their sum, the strongest, log length."""
     h, pair, counts = _tokens(column)
     e = model.evidence(h, pair)
     n = np.maximum(counts, 1)
     mean = vectext.sums(e, counts) / n
-    strong = vectext.sums(np.maximum(e - 2.0, 0), counts)
-    return np.stack([mean * 10, strong / np.sqrt(n), strong / n * 10, np.log(n), np.log1p(strong)], 1)
+    over = e > model.strong
+    strong = vectext.sums(np.where(over, e, 0.0), counts)
+    top = np.zeros(len(counts))
+    if len(e):
+        top[counts > 0] = np.maximum.reduceat(e, (np.cumsum(counts) - counts)[counts > 0])
+    return np.stack([mean * 10, strong / n * 10, np.log1p(strong), top, np.log(n)], 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> dict | None:
@@ -141,11 +146,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 cls = np.repeat(part.column(1).to_numpy(zero_copy_only=False), counts)
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), pa.array(before.view(np.int64)), pa.array(h.view(np.int64))], names=["cls", "a", "b"])
 
+    scratch = Scratch(docs.sparkSession, "toxicity")
     counted = rows.where(~F.col("later")).select("text", F.col("cls").cast("int")).mapInArrow(bigrams, "cls int, a long, b long")
-    got = counted.groupBy("cls", "a", "b").agg(F.count("*").cast("int").alias("n")).toPandas()
-    if set(got["cls"]) != {0, 1}:
+    counted = scratch.save(counted.groupBy("a", "b").agg(F.sum("cls").alias("n1"), F.sum(1 - F.col("cls")).alias("n0")), "counted")
+    some = lambda x: F.sum((F.col(x) > 0).cast("long"))
+    off = lambda x: F.sum(F.least(F.col(x).cast("double"), F.lit(DISCOUNT)))
+    words = counted.groupBy(F.col("b").alias("word")).agg(some("n1").alias("f1"), some("n0").alias("f0")).toArrow()
+    kept = counted.where(F.greatest("n1", "n0") >= LEAST)
+    histories = counted.join(kept.select("a").distinct(), "a", "left_semi").groupBy("a")
+    histories = histories.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), off("n1").alias("y1"), off("n0").alias("y0")).toArrow()
+    pairs = kept.toArrow()
+    scratch.drop("counted")
+    if not len(words) or not words["f1"].to_numpy().any() or not words["f0"].to_numpy().any():
         return None
-    model = _fit(got)
+    model = _fit(words, histories, pairs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 x = _features(shared.value, part.column(0))
                 yield pa.RecordBatch.from_arrays([part.column(1), vectext.lists(x.ravel(), np.full(len(x), x.shape[1]), pa.float64())], names=["cls", "x"])
 
-    later = rows.where("later").select("text", F.col("cls").cast("int")).mapInArrow(features, "cls int, x array<double>").toPandas()
-    if len(set(later["cls"])) < 2:
+    later = rows.where("later").select("text", F.col("cls").cast("int")).mapInArrow(features, "cls int, x array<double>").toArrow()
+    y = later["cls"].to_numpy().astype(float)
+    if len(set(y)) < 2:
         return None
-    x, y = np.stack(later["x"].to_numpy()), later["cls"].to_numpy().astype(float)
+    x = later["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     # the sample holds classes in other parts than the labels do
     weight = np.where(y == 1, rates[1] / (y == 1).sum(), rates[0] / (y == 0).sum())
     return {"model": model, "logistic": logistic.fit(x, y, weight / weight.mean())}
