@@ -99,7 +99,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", smoothing: flo
             )
 
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if got.empty:
         return None
     codes = sorted(got["lang"].unique())

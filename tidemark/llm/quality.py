@@ -128,10 +128,12 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray
 
     rows = _needed(docs).join(F.broadcast(chosen), "doc_id").select(*_COLUMNS, "cls")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, cls int, x array<float>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    got = rows.mapInArrow(run, f"doc_id {kind}, cls int, x array<float>").toArrow().combine_chunks().sort_by("doc_id")
     width = CLASSES**2 + 9
-    x = np.stack(got["x"].to_numpy()).astype(np.float64) if len(got) else np.zeros((0, width + _SOURCES + _LANGS + 4))
-    return x[:, :width], x[:, width:], got["cls"].to_numpy().astype(int)
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(got), width + _SOURCES + _LANGS + 4)
+    ids = got["doc_id"].to_numpy()
+    first = np.append(True, ids[1:] != ids[:-1])[: len(ids)]  # a repeated id counts once
+    return x[first, :width].astype(np.float64), x[first, width:].astype(np.float64), got["cls"].to_numpy()[first].astype(int)
 
 
 def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> dict | None:
