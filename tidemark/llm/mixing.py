@@ -156,7 +156,9 @@ def mix(
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.aggregate(F.slice("share", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
     blocks = _with_sources(blocks, drawn.select("source", "n_blocks", ends.alias("ends")), head["n"], F.col("block"))
     n_draws = F.col("passes") + (F.col("left") > 0).cast("long")
-    at = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n_draws, F.lit(1).cast("long"))), lambda p: F.size(F.filter("ends", lambda e: e <= (p - 1) * F.col("n_blocks") + F.col("rank"))))
+    # sources begin with different shards, so that small ones don't meet in the same
+    turn = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), F.col("source")), F.lit(shards)).cast("int")
+    at = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n_draws, F.lit(1).cast("long"))), lambda p: (F.size(F.filter("ends", lambda e: e <= (p - 1) * F.col("n_blocks") + F.col("rank"))) + turn) % shards)
     blocks = blocks.withColumn("shards", F.when(n_draws > 0, at).otherwise(F.array().cast("array<int>")))
     blocks = scratch.save(blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "block_size", "source_size", "target", "passes", "left", "shards"), "blocks")
 
@@ -194,11 +196,14 @@ def materialise(docs: DataFrame, text: str = "text", seed: int = 17, **how) -> D
     taken = mix(docs, text=text, seed=seed, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "shards")
     taken = taken.select(F.col("_id").alias("_same"), F.col("_size"), "_taken", "shards", F.row_number().over(own).alias("_place")).where("_taken > 0")
     taken = taken.select("_same", "_place", "_size", "_taken", F.posexplode("shards").alias("_draw", "_shard"))
-    numbered = docs.select(*docs.columns, F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col(text)).alias("_size"))
-    numbered = numbered.select(*docs.columns, "_id", number)
+    # the input's columns travel as one, so that none of them can clash with ours
+    numbered = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col(text)).alias("_size"))
+    numbered = numbered.select("_row", "_id", number)
     out = numbered.join(taken, F.col("_id").eqNullSafe(F.col("_same")) & (F.col("_number") == F.col("_place")))
     left = F.col("_taken") - F.col("_draw") * F.col("_size")
-    parts = F.split(F.regexp_replace(F.col(text), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    whole = F.col(f"_row.{text}")
+    parts = F.split(F.regexp_replace(whole, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     cut = F.array_join(F.slice(parts, F.lit(1), left.cast("int")), " ")
-    out = out.withColumn(text, F.when(left < F.col("_size"), cut).otherwise(F.col(text)))
-    return out.sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_draw"))).select(*docs.columns)
+    shown = F.when(left < F.col("_size"), cut).otherwise(whole)
+    out = out.sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_draw")))
+    return out.select(*(shown.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
