@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import period, roles, text, units
+from tidemark.functions import period, roles, statements, text, units
 
 
 def values(spark, rows, schema, *columns):
@@ -89,3 +89,31 @@ def test_numbers_and_months(spark):
     assert values(spark, [("1.234,56",), ("0.67",), ("x",), (None,)], "t string", text.locale_number(F.col("t"))) == [(1234.56,), (0.67,), (None,), (None,)]
     assert values(spark, [("Faturamento dez e março",), ("nada",)], "t string", period.month_of_label(F.col("t"))) == [(3,), (None,)]
     assert values(spark, [("Out/2024", "Jan/2025")], "a string, b string", period.chronological_key(F.col("a")) < period.chronological_key(F.col("b"))) == [(True,)]
+
+
+@pytest.mark.parametrize(
+    "section,label,kind,found",
+    [
+        (None, "Receita Operacional Líquida", "INCOME", (None, "receita_liquida")),
+        (None, "Receitas de vendas de mercadorias", "INCOME", ("receita_bruta", None)),
+        ("Despesas Operacionais", "Aluguéis", "INCOME", ("despesas_operacionais", None)),
+        ("Custo dos produtos vendidos", "Despesas gerais", "INCOME", ("custos", None)),
+        (None, "- Lucro líquido", "INCOME", (None, None)),
+        (None, "Resultado antes do resultado financeiro", "INCOME", (None, None)),
+        (None, "Provisão para IRPJ", "INCOME", ("impostos_lucro", None)),
+        (None, "Caixa líquido gerado pelas atividades operacionais", "CASH_FLOW", (None, "caixa_operacional")),
+        (None, "Saldo final de caixa", "CASH_FLOW", (None, "saldo_final_caixa")),
+        ("Atividades de financiamento", "Juros", "CASH_FLOW", ("atividades_financiamento", None)),
+        (None, "Pagamentos a fornecedores", "CASH_FLOW", ("atividades_operacionais", None)),
+        (None, None, "CASH_FLOW", (None, None)),
+    ],
+)
+def test_statements(spark, section, label, kind, found):
+    got = spark.createDataFrame([(section, label)], "s string, l string").select(statements.classify(F.col("s"), F.col("l"), getattr(statements, kind)).alias("c")).first()["c"]
+    assert tuple(got) == found
+
+
+def test_statement_families(spark):
+    rows = [("Saldo em 31/12/2024", "dmpl"), ("Saldo final de caixa em 31/12/2024", "fluxo_caixa"), ("Lucro bruto", "dre"), ("qualquer", None)]
+    assert all(x == w for x, w in values(spark, rows, "l string, w string", statements.family(F.lit(None).cast("string"), F.col("l")), "w"))
+    assert values(spark, [("Notas explicativas",), ("Nota 12",), ("Balanço",)], "s string", statements.is_note(F.col("s"))) == [(True,), (True,), (False,)]

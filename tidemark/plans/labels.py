@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import period, roles, text, units
+from ..functions import period, roles, statements, text, units
 from ..operators.pick import first_per_key
 from ..sources import readers
 from .registry import query, read
@@ -211,3 +211,22 @@ def seen_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     first = d.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     return d.join(first, "digest").select("doc_id", "digest", "first_id", (F.col("doc_id") != F.col("first_id")).alias("seen_before"))
+
+
+_LINES = [
+    ("Receita Líquida", None, None, "receita_liquida"), ("Vendas de mercadorias", None, "receita_bruta", None), ("Aluguéis", "Despesas operacionais", "despesas_operacionais", None),
+    ("Lucro bruto", None, None, "lucro_bruto"), ("Juros sobre empréstimos", None, "resultado_financeiro", None), ("Parafusos", None, None, None), ("CSLL corrente", None, "impostos_lucro", None),
+]
+
+
+@query(
+    "select p_partkey, label, section, anchor from part join (values "
+    + ", ".join(f"({k}, '{l}', {repr(s) if s else 'null'}, {repr(a) if a else 'null'})" for k, (l, _, s, a) in enumerate(_LINES))
+    + f") v(k, label, section, anchor) on v.k = p_partkey % {len(_LINES)}"
+)
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an income statement by total or section; the labels are classified once each."""
+    lines = spark.createDataFrame([(k, label, declared) for k, (label, declared, _, _) in enumerate(_LINES)], "k int, label string, declared string")
+    known = lines.select("k", "label", statements.classify(F.col("declared"), F.col("label"), statements.INCOME).alias("c")).select("k", "label", "c.section", "c.anchor")
+    parts = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_LINES)).cast("int").alias("k"))
+    return parts.join(F.broadcast(known), "k").select("p_partkey", "label", "section", "anchor")
