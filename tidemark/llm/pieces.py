@@ -37,7 +37,9 @@ SPACE = "▁"
 #: Threads of one encoding worker; a worker is a task of Spark, which has a core of its own.
 THREADS = 2
 #: Words whose pieces a worker keeps from batch to batch, at most.
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 500_000
+#: Bytes of text that a worker encodes at once.
+SLICE = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -272,7 +274,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            for part in vectext.slices(batch, most=1 << 23):
+            for part in vectext.slices(batch, most=SLICE):
                 ids, counts, exact, mended = codec.encode_column(part.column(1))
                 null = part.column(1).is_null()
                 offs = np.zeros(len(counts) + 1, np.int32)
