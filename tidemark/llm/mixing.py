@@ -175,12 +175,12 @@ def mix(
     drawn_now = F.when(F.col("extra") > 0, F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.col("passes").cast("int")))
     return all_docs.select(
         "doc_id",
-        "source",
         "size",
         "source_size",
         "target",
         F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.col("extra")).otherwise(0).cast("long").alias("taken"),
         F.when(F.col("size") > 0, drawn_now).otherwise(F.array().cast("array<int>")).alias("shards"),
+        "source",
     )
 
 
