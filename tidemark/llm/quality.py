@@ -35,10 +35,10 @@ from . import logistic, vectext
 from .language_id import held_out_fold
 
 #: Labelled rows a class and unlabelled rows that the classifiers are fitted on, at most.
-SAMPLE, POOL = 4000, 8000
+SAMPLE, POOL = 2000, 4000
 ROUNDS = 4
 #: Pseudo-labels of a class that a view hands over in a round, at most, and how sure it is of them.
-HANDED, SURE = 400, 0.98
+HANDED, SURE = 200, 0.98
 #: A document is kept from this score on.
 KEEP = 0.5
 
@@ -128,11 +128,11 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray
 
     rows = _needed(docs).join(F.broadcast(chosen), "doc_id").select(*_COLUMNS, "cls")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, cls int, x array<float>").toArrow().combine_chunks().sort_by("doc_id")
+    got = rows.mapInArrow(run, f"doc_id {kind}, cls int, x array<float>").toArrow()
     width = CLASSES**2 + 9
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(got), width + _SOURCES + _LANGS + 4)
-    ids = got["doc_id"].to_numpy()
-    first = np.append(True, ids[1:] != ids[:-1])[: len(ids)]  # a repeated id counts once
+    # in the order of the ids, and a repeated id counts once
+    _, first = np.unique(got["doc_id"].to_numpy(), return_index=True)
     return x[first, :width].astype(np.float64), x[first, width:].astype(np.float64), got["cls"].to_numpy()[first].astype(int)
 
 
