@@ -12,10 +12,11 @@ order they share c of them:
 
 The boundary between small and large is the size with the least estimated cost, and sets
 near it are in both, so that a small set meets a large one in the lists. Lists of one set
-are dropped. A set is first compared with two sets of each of its lists, which the least
-of two hashes choose, and then, wherever sets of a list are not yet known to belong
-together, all such pairs are compared: no link between different texts is lost that the
-components need, and hot lists of alike sets cost no more than their length. Sets verify
+are dropped. A set is first compared with two sets of each of its lists, the one with the
+key at the first place and the one with the least hash, and then, wherever sets of a list
+are not yet known to belong together, all such pairs are compared: no link between
+different texts is lost that the components need, and hot lists of alike sets cost no
+more than their length. Sets verify
 each other on all their shingles, in integers: 100 * both >= 80 * either.
 
 Defined results
@@ -53,6 +54,8 @@ COUNT_BITS = 20
 CHUNK, MOST_SIZE = 1 << 14, 4096
 #: Sets of a list that are dealt to one part of it at most, in the mean.
 PART = 4096
+#: Taken off the places of subsets.
+SUBSETS = 1 << 20
 #: Shingles that are read for what a row costs that is moved.
 READ = 64
 
@@ -137,13 +140,18 @@ def _boundary(sizes: dict[int, int], load: float, threshold: int) -> int:
 def _keys(sets: DataFrame, counts, bound: int, threshold: int) -> DataFrame:
     """(key, part, parts, doc_id, n, place): what each set is looked up by.
 
-    place is the position of the shingle in the set's order (-1 in subsets); a key whose
-    bucket is very full is dealt in parts.
+    place is the position of the shingle in the set's order, in subsets the sum of both less
+    SUBSETS, and so negative; a key whose bucket is very full is dealt in parts.
     """
     first_large = int(_needed(np.array([bound + 1]), threshold)[0])
 
+    def parts_of(full: np.ndarray, even: int) -> np.ndarray:
+        """Parts of keys by what their buckets hold over twice the even filling."""
+        return np.maximum(full.astype(np.int64) - even, 0) // PART + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
+        even = int(2 * table.mean(dtype=np.float64))
         for batch in batches:
             for part in vectext.slices(batch):
                 values, n = _sets(part.column(1))
@@ -167,11 +175,11 @@ def _keys(sets: DataFrame, counts, bound: int, threshold: int) -> DataFrame:
                     a, b = values[begin[mine][:, None] + one], values[begin[mine][:, None] + two]
                     keys.append(vectext.mix(np.minimum(a, b) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(a, b)).ravel())
                     docs.append(np.repeat(mine, len(one)))
-                    places.append(np.full(len(mine) * len(one), -1))
+                    places.append(np.tile(one + two - SUBSETS, len(mine)))
                     full.append(np.minimum(weight[begin[mine][:, None] + one], weight[begin[mine][:, None] + two]).ravel())
                 at = np.concatenate(docs)
                 ids = part.column(0).to_numpy(zero_copy_only=False)[at]
-                parts = np.concatenate(full).astype(np.int64) // PART + 1
+                parts = parts_of(np.concatenate(full), even)
                 mixed = vectext.mix(ids.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array((mixed % parts.astype(np.uint64)).astype(np.int32)), pa.array(parts.astype(np.int32)), pa.array(ids), pa.array(n[at].astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))],
@@ -181,8 +189,16 @@ def _keys(sets: DataFrame, counts, bound: int, threshold: int) -> DataFrame:
     return sets.mapInArrow(run, "key long, part int, parts int, doc_id long, n int, place int")
 
 
+_HEADS = "first_doc long, first_n int, first_place int, any_doc long, any_n int, any_place int"
+
+
 def _lists(keys: DataFrame) -> DataFrame:
-    """The keys without those that one set alone has; those dealt in parts stay for the next step."""
+    """The keys without those that one set alone has; those dealt in parts stay for the next step.
+
+    Every row also names two sets of its list, or of its part of it: the one with the shingle
+    at the first place, and the one with the least hash. A text that near copies were made
+    from has no rare shingles of its own, so in its order the shared ones come first.
+    """
     dealt = keys.repartition("key", "part").sortWithinPartitions("key", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +217,24 @@ def _lists(keys: DataFrame) -> DataFrame:
             new[0] = True
             yield from _shared(pa.Table.from_batches([held]), new)
 
-    return dealt.mapInArrow(run, "key long, parts int, doc_id long, n int, place int")
+    return dealt.mapInArrow(run, f"key long, parts int, doc_id long, n int, place int, {_HEADS}")
 
 
 def _shared(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not table.num_rows:
         return
-    size = np.diff(np.append(np.flatnonzero(new), len(new)))
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(new)))
     keep = (np.repeat(size, size) > 1) | (table["parts"].to_numpy() > 1)
-    yield from table.filter(pa.array(keep)).select(["key", "parts", "doc_id", "n", "place"]).combine_chunks().to_batches()
+    doc, n, place = (table[c].to_numpy() for c in ("doc_id", "n", "place"))
+    which = np.repeat(np.arange(len(begin)), size)
+    hashed = vectext.mix(doc.astype(np.uint64) + np.uint64(1))
+    columns = [table[c] for c in ("key", "parts", "doc_id", "n", "place")]
+    for order in (np.lexsort((hashed, place, which)), np.lexsort((hashed, which))):
+        head = np.repeat(order[begin], size)
+        columns += [pa.array(doc[head]), pa.array(n[head]), pa.array(place[head])]
+    names = ["key", "parts", "doc_id", "n", "place", *(x.split()[0] for x in _HEADS.split(", "))]
+    yield from pa.Table.from_arrays(columns, names=names).filter(pa.array(keep)).combine_chunks().to_batches()
 
 
 def _possible(threshold: int) -> Column:
@@ -246,10 +271,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+def classes_of(docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, class_id) of all rows, and (doc_id, text) of one row of each class, in buckets."""
     rows = scratch.save(_described(docs, text), "rows")
     usable = rows.where("n > 0 and doc_id is not null")
     # tables of their own, so that Spark can split the hot keys of the joins with them
@@ -259,21 +282,23 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> Dat
     least = classes.where("doc_id = class_id").select("doc_id").distinct()
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(least, "doc_id", "left_semi")
     sets = scratch.bucketed(sets, "sets", "doc_id")
+    return classes, sets
 
-    counts = _counted(sets)
-    sizes = classes.where("doc_id = class_id").groupBy(F.least("n", F.lit(MOST_SIZE)).alias("n")).agg(F.count("*").alias("k")).collect()
-    bound = _boundary({r["n"]: r["k"] for r in sizes}, _load(counts), threshold)
-    shared = spark.sparkContext.broadcast(counts)
-    lists = scratch.save(_lists(_keys(sets, shared, bound, threshold)), "lists")
 
-    # every set with the sets of its lists that have the least of two hashes
-    hashes = [F.xxhash64(F.lit(seed), F.col("doc_id")) for seed in (1, 2)]
-    chosen = lists.groupBy("key").agg(*(F.min(F.struct(h.alias("h"), "doc_id", "n", "place")).alias(f"m{k}") for k, h in enumerate(hashes)))
-    chosen = chosen.select("key", F.explode(F.array("m0", "m1")).alias("m")).select("key", F.col("m.doc_id").alias("b"), F.col("m.n").alias("n_b"), F.col("m.place").alias("place_b"))
-    chosen = scratch.save(chosen, "chosen")
-    mine = lists.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
-    ordered = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = scratch.save(ordered(mine.join(chosen, "key").where("a <> b").where(_possible(threshold))), "near")
+def settled(lists: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of all linked sets, from the lists (key, parts, doc_id, n, place and heads) they meet in.
+
+    Every pair of a list whose sets can be similar is compared, or known to be of one
+    component already; sets (doc_id, text) holds the texts of all ids.
+    """
+    # every set with the two sets that its lists name, and those of parts with those of the whole
+    ordered = lambda x: x.where("a <> b").where(_possible(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    mine = [F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a")]
+    pairs = [ordered(lists.select(*mine, *(F.col(f"{h}_{c}").alias(x) for c, x in (("doc", "b"), ("n", "n_b"), ("place", "place_b"))))) for h in ("first", "any")]
+    heads = lists.where("parts > 1").select("key", F.col("first_doc").alias("a"), F.col("first_n").alias("n_a"), F.col("first_place").alias("place_a")).distinct()
+    whole = heads.groupBy("key").agg(F.min(F.struct("place_a", F.xxhash64("a").alias("h"), "a", "n_a")).alias("m"))
+    whole = whole.select("key", F.col("m.a").alias("b"), F.col("m.n_a").alias("n_b"), F.col("m.place_a").alias("place_b"))
+    near = scratch.save(pairs[0].union(pairs[1]).union(ordered(heads.join(whole, "key"))).distinct(), "near")
     links = scratch.save(_verified(near, sets, threshold), "links")
     known = scratch.save(components(links, scratch, "first"), "known")
 
@@ -287,14 +312,34 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> Dat
     rest = side("a").join(side("b"), "key").where("doc_id_a < doc_id_b and c_a <> c_b").where(_possible(threshold))
     rest = rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     more = scratch.save(_verified(scratch.save(rest, "rest"), sets, threshold), "more")
-    scratch.drop("lists", "open", "open_keys", "chosen", "rest", "near", "rows", "heads")
-    scratch.drop_bucketed("sets")
     stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(stars.union(more), scratch, "second").withColumnRenamed("node", "class_id")
+    found = components(stars.union(more), scratch, "second")
+    scratch.drop("open", "open_keys", "rest", "near")
+    return found
+
+
+def by_class(classes: DataFrame, found: DataFrame) -> DataFrame:
     out = classes.join(found, "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
 
+def join(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    classes, sets = classes_of(docs, text, scratch)
+    counts = _counted(sets)
+    sizes = classes.where("doc_id = class_id").groupBy(F.least("n", F.lit(MOST_SIZE)).alias("n")).agg(F.count("*").alias("k")).collect()
+    bound = _boundary({r["n"]: r["k"] for r in sizes}, _load(counts), threshold)
+    shared = spark.sparkContext.broadcast(counts)
+    lists = scratch.save(_lists(_keys(sets, shared, bound, threshold)), "lists")
+
+    found = settled(lists, sets, threshold, scratch).withColumnRenamed("node", "class_id")
+    scratch.drop("lists", "rows", "heads")
+    scratch.drop_bucketed("sets")
+    return by_class(classes, found)
+
+
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
     """One document of each component, the one with the least id; the columns of the input.
 

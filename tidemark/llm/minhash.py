@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import vectext
+from . import jaccard_join, vectext
 from .common import Scratch
-from .components import components
 
 PERMUTATIONS, WORDS = 128, 5
 #: Rows of a band: 32 bands of 4 find a pair of similarity 0.8 with probability 1 - 5e-8.
@@ -190,50 +189,44 @@ def fingerprints_with_next(docs: DataFrame) -> DataFrame:
     return _neighbours(docs).mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Per document: doc_id, class_id (smallest id of equal shingle sets), component_id.
+def band_keys(column) -> tuple[np.ndarray, np.ndarray]:
+    """(key of every band, size of the shingle set) of the rows that have shingles."""
+    h, _, _, counts = vectext.words(*vectext.utf8(column))
+    values, sizes = vectext.distinct(*vectext.shingles(h, counts, WORDS))
+    bands = signatures(values, sizes).reshape(len(sizes), -1, BAND_ROWS).astype(np.uint64)
+    key = np.zeros(bands.shape[:2], np.uint64)
+    for j in range(BAND_ROWS):
+        key = vectext.mix(key ^ bands[:, :, j])
+    return vectext.mix(key + np.arange(key.shape[1], dtype=np.uint64)), sizes
 
-    Bands of the signatures are joined in Spark, each bucket's members with its smallest
-    one and with their next neighbour in the bucket; the candidates' Jaccard similarity is
-    computed from their shingles and pairs below the threshold fall away.
+
+def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id.
+
+    Sets that share a band of the signature meet in a list; the sets of a list are
+    verified against each other on all their shingles, as in the Jaccard join, so that
+    what a band finds is exact. threshold is in hundredths.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
+    classes, sets = jaccard_join.classes_of(docs, text, scratch)
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in vectext.slices(batch):
-                data, offs = vectext.utf8(part.column(1))
-                h, _, _, counts = vectext.words(data, offs)
-                values, sizes = vectext.distinct(*vectext.shingles(h, counts, WORDS))
-                sig = signatures(values, sizes)
-                bands = sig.reshape(len(sizes), -1, BAND_ROWS).astype(np.uint64)
-                key = np.zeros(bands.shape[:2], np.uint64)
-                for j in range(BAND_ROWS):
-                    key = vectext.mix(key ^ bands[:, :, j])
-                key = vectext.mix(key + np.arange(key.shape[1], dtype=np.uint64))
-                ends = np.cumsum(sizes)
-                digest = [hashlib.blake2b(values[b - n : b].tobytes(), digest_size=16).digest() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                key, n = band_keys(part.column(1))
+                width = key.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.array(digest, pa.binary()), vectext.lists(key.view(np.int64).ravel(), np.full(len(sizes), key.shape[1]), pa.int64()), vectext.lists(values.view(np.int64), sizes, pa.int64())],
-                    names=["doc_id", "n", "digest", "bands", "shingles"],
+                    [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), width)), pa.array(np.repeat(n, width).astype(np.int32))], names=["key", "doc_id", "n"]
                 )
 
-    rows = docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n long, digest binary, bands array<long>, shingles array<long>")
-    rows = scratch.save(rows, "signed")
-    digest = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.concat(F.col("digest"), F.encode(F.col("doc_id").cast("string"), "utf-8")))
-    classes = rows.select("doc_id", "n", digest.alias("digest")).withColumn("class_id", F.min("doc_id").over(Window.partitionBy("digest"))).drop("digest")
-    classes = scratch.save(classes, "classes")
-    heads = classes.where((F.col("doc_id") == F.col("class_id")) & (F.col("n") > 0)).select("doc_id").distinct()
-    banded = rows.join(heads, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("band"))
-    in_band = Window.partitionBy("band").orderBy("n", "doc_id")
-    near = banded.select("doc_id", F.first("doc_id").over(in_band).alias("least"), F.lag("doc_id").over(in_band).alias("last"))
-    pairs = near.select("doc_id", F.explode(F.array("least", "last")).alias("other")).where("doc_id <> other")
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    left = rows.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
-    found = components(links, scratch)
-    joined = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return joined.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    keys = scratch.save(sets.select("doc_id", "text").mapInArrow(banded, "key long, doc_id long, n int"), "keys")
+    least = [F.min(F.struct(F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"), "doc_id", "n")).alias(h) for seed, h in ((1, "first"), (2, "any"))]
+    shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("met"), *least).where("met > 1"), "shared")
+    named = [F.col(f"{h}.{c}").alias(f"{h}_{x}") for h in ("first", "any") for c, x in (("doc_id", "doc"), ("n", "n"))]
+    bare = [F.lit(-1).alias(c) for c in ("place", "first_place", "any_place")]
+    lists = keys.join(shared, "key").select("key", F.lit(1).alias("parts"), "doc_id", "n", *named, *bare)
+    lists = scratch.save(lists, "lists")
+    found = jaccard_join.settled(lists, sets, threshold, scratch).withColumnRenamed("node", "class_id")
+    scratch.drop("keys", "shared", "lists", "rows", "heads")
+    scratch.drop_bucketed("sets")
+    return jaccard_join.by_class(classes, found)
