@@ -271,8 +271,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def classes_of(docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class_id) of all rows, and (doc_id, text) of one row of each class, in buckets."""
+def classes_of(docs: DataFrame, text: str, scratch: Scratch, rows_too: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, class_id) of all rows, and (doc_id, text) of one row of each class, in buckets.
+
+    With rows_too the second also has the whole rows, as a struct `row`.
+    """
     rows = scratch.save(_described(docs, text), "rows")
     usable = rows.where("n > 0 and doc_id is not null")
     # tables of their own, so that Spark can split the hot keys of the joins with them
@@ -280,7 +283,8 @@ def classes_of(docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame,
     classes = rows.join(heads, "digest", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
     classes = scratch.save(classes, "classes")
     least = classes.where("doc_id = class_id").select("doc_id").distinct()
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(least, "doc_id", "left_semi")
+    whole = [F.struct(*docs.columns).alias("row")] if rows_too else []
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), *whole).join(least, "doc_id", "left_semi")
     sets = scratch.bucketed(sets, "sets", "doc_id")
     return classes, sets
 
@@ -325,19 +329,22 @@ def by_class(classes: DataFrame, found: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     classes, sets = classes_of(docs, text, scratch)
-    counts = _counted(sets)
+    found = _found(classes, sets, threshold, scratch)
+    scratch.drop_bucketed("sets")
+    return by_class(classes, found)
+
+
+def _found(classes: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    counts = _counted(sets.select("doc_id", "text"))
     sizes = classes.where("doc_id = class_id").groupBy(F.least("n", F.lit(MOST_SIZE)).alias("n")).agg(F.count("*").alias("k")).collect()
     bound = _boundary({r["n"]: r["k"] for r in sizes}, _load(counts), threshold)
-    shared = spark.sparkContext.broadcast(counts)
-    lists = scratch.save(_lists(_keys(sets, shared, bound, threshold)), "lists")
-
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    lists = scratch.save(_lists(_keys(sets.select("doc_id", "text"), shared, bound, threshold)), "lists")
     found = settled(lists, sets, threshold, scratch).withColumnRenamed("node", "class_id")
     scratch.drop("lists", "rows", "heads")
-    scratch.drop_bucketed("sets")
-    return by_class(classes, found)
+    return found
 
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
@@ -346,5 +353,14 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text")
     Rows with a null id stay, as they are linked with nothing. Of rows with the same id,
     which are one document, all stay or none does.
     """
-    gone = join(docs, threshold, text).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    classes, sets = classes_of(docs, text, scratch, rows_too=True)
+    found = by_class(classes, _found(classes, sets, threshold, scratch))
+    gone = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # what stays is a class's own row, and those lie in buckets by id already; rows without
+    # words or id have no class and are few
+    kept = sets.join(gone, "doc_id", "left_anti").select("row.*")
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    bare = docs.where(~worded | F.col("doc_id").isNull())
+    taken = sets.select("doc_id").union(gone).distinct()
+    return kept.unionByName(bare.join(taken, "doc_id", "left_anti").select(*docs.columns))
