@@ -45,6 +45,17 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_same_cutoff_above_the_sample(spark):
+    # the text tells nothing, so a score is the share of good documents, however few are sampled
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three", "four"], 12)), int(i % 5 > 0)) for i in range(1500)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for sample in (2000, 150):
+        model = quality.fit(data.select("doc_id", "text"), data.select("doc_id", "quality"), sample=sample)
+        got = [r["score"] for r in quality.score(data, model).collect()]
+        assert 0.7 < np.mean(got) < 0.9 and np.mean(np.array(got) >= 0.5) > 0.9
+
+
 def test_toxicity_held_out(spark):
     docs, labels = read(spark, LARGE, "documents"), read(spark, LARGE, "labels")
     got = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").collect()

@@ -6,7 +6,8 @@ crawler knows of the page without reading it: source, language, length and layou
 lines. Each view has a logistic classifier. In every round each of them labels the
 unlabelled documents of a pool that it is sure of, and these go to the other view's
 training rows. Both views are then calibrated on labelled rows that neither has seen, and
-their log-odds are combined by a third logistic function that scores all documents.
+their log-odds are combined by a third logistic function that scores all documents. Both
+fits weigh the classes as they are among all labelled documents, however many are sampled.
 
 The classifiers are fitted on the driver, on at most SAMPLE labelled rows a class and POOL
 unlabelled rows, the first by a hash of the id; scoring covers every row.
@@ -136,8 +137,11 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray
     return x[first, :width].astype(np.float64), x[first, width:].astype(np.float64), got["cls"].to_numpy()[first].astype(int)
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> dict | None:
-    """The fitted views and their combination; label -1 marks the unlabelled pool."""
+def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, rates: dict[int, int] | None = None) -> dict | None:
+    """The fitted views and their combination; label -1 marks the unlabelled pool.
+
+    rates: how many documents have each label, where label holds a sample of them.
+    """
     views = (content, meta)
     labelled = np.flatnonzero(label >= 0)
     # one labelled row in three is kept for calibration
@@ -148,13 +152,17 @@ def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: i
     rows = [early.copy(), early.copy()]
     targets = [label[early].astype(float), label[early].astype(float)]
     free = np.flatnonzero(label < 0)
+    # the sample holds classes in other parts than the labels do
+    y = label[later].astype(float)
+    true = np.ones(len(y)) if rates is None else np.where(y == 1, rates[1] / (y == 1).sum(), rates[0] / (y == 0).sum())
+    true = true * len(y) / true.sum()
 
     def fitted(v: int):
         weight = np.where(targets[v] == 1, 0.5 / max(1, (targets[v] == 1).sum()), 0.5 / max(1, (targets[v] == 0).sum()))
         model = logistic.fit(views[v][rows[v]], targets[v], weight * len(weight), ridge=3.0)
         # calibrated on rows that the view has not seen
         raw = logistic.predict(model, views[v][later])
-        return model, logistic.fit(raw[:, None], label[later].astype(float), np.ones(len(later)))
+        return model, logistic.fit(raw[:, None], y, true)
 
     def odds(model, x: np.ndarray) -> np.ndarray:
         return logistic.predict(model[1], logistic.predict(model[0], x)[:, None])
@@ -175,16 +183,18 @@ def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: i
         free = free[~taken]
     models = [fitted(0), fitted(1)]
     both = np.stack([odds(models[v], views[v][later]) for v in (0, 1)], 1)
-    return {"views": models, "both": logistic.fit(both, label[later].astype(float), np.ones(len(later)))}
+    return {"views": models, "both": logistic.fit(both, y, true)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, pool: int = POOL) -> dict | None:
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("cls"))
+    present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    rates = {r["cls"]: r["n"] for r in present.groupBy("cls").agg(F.count("*").alias("n")).collect()}
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("cls = 0").orderBy(*first).limit(sample).union(known.where("cls = 1").orderBy(*first).limit(sample))
     rest = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id").limit(pool).distinct()
     rest = rest.join(known, "doc_id", "left_anti").withColumn("cls", F.lit(-1))
-    return co_train(*_sampled(docs, picked.union(rest)))
+    return co_train(*_sampled(docs, picked.union(rest)), rates=rates)
 
 
 def score(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
