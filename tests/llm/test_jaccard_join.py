@@ -65,6 +65,22 @@ def test_whole_table(spark, sf):
     assert found(jaccard_join.join(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("block", [128, 3])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "CELLS", 1000 * block)
+    rng = random.Random(9)
+    base = [str(k) for k in range(100)]
+    # near copies of one text: most pairs of them are similar too
+    near = [" ".join(base[: 80 + k % 9] + [f"x{k}"]) for k in range(30)]
+    rows = planted() + [(10_000 + i, t) for i, t in enumerate(near + near[:3])]
+    rng.shuffle(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    links = {i: sum(i != j and bool(x and y) and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == links and max(links.values()) >= 30
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     got = jaccard_join.join(docs).collect()

@@ -19,10 +19,17 @@ different texts is lost that the components need, and hot lists of alike sets co
 more than their length. Sets verify
 each other on all their shingles, in integers: 100 * both >= 80 * either.
 
+Then join() counts all links: similar sets are of one component, so the sets of each are
+dealt to blocks, and every two blocks of a component are compared in numpy within a task,
+all sets with all. No pairs are sent, only blocks and counts. A component of k sets costs
+k * k comparisons.
+
 Defined results
 ---------------
 * null texts and texts without words have an empty set, linked with nothing; their
-  component is their own id.
+  component is their own id, n_links is 0.
+* n_links counts the other documents with the same or a similar set. An id with different
+  texts counts in each of their classes, and each of its rows has the links of its class.
 * texts of one to four words have one shingle, the whole sequence.
 * rows with the same id count as one document that has all their links; rows with a null
   id are counted (n_shingles) but linked with nothing and have no component.
@@ -58,6 +65,12 @@ PART = 4096
 SUBSETS = 1 << 20
 #: Shingles that are read for what a row costs that is moved.
 READ = 64
+#: Sets of a block of a component, and blocks from which on they grow up to the second size.
+BLOCK, BLOCKS, MOST_BLOCK = 128, 32, 1024
+#: Shingles of a block, in the mean, and cells of a matrix that blocks are compared in.
+BLOCK_SHINGLES, CELLS = 1 << 20, 1 << 22
+#: Components of several blocks that are broadcast at most.
+BROADCAST_COMPONENTS = 1 << 18
 
 
 def _needed(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -322,18 +335,133 @@ def settled(lists: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch)
     return found
 
 
-def by_class(classes: DataFrame, found: DataFrame) -> DataFrame:
+def _similar(a: tuple, b: tuple, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two blocks (ids, members, sizes, values) whose sets are similar."""
+    n, m = a[2], b[2]
+    both = np.zeros((len(n), len(m)), np.int64)
+    common = np.intersect1d(a[3], b[3])
+    step = max(1, CELLS // max(len(n), len(m)))
+    rows = [np.repeat(np.arange(len(x[2])), x[2]) for x in (a, b)]
+    for k in range(0, len(common), step):
+        some = common[k : k + step]
+        sides = []
+        for x, row in zip((a, b), rows, strict=True):
+            at = np.minimum(np.searchsorted(some, x[3]), len(some) - 1)
+            has = some[at] == x[3]
+            side = np.zeros((len(x[2]), len(some)), np.float32)
+            side[row[has], at[has]] = 1
+            sides.append(side)
+        both += (sides[0] @ sides[1].T).astype(np.int64)
+    return np.nonzero((both > 0) & (100 * both >= threshold * (n[:, None] + m[None] - both)))
+
+
+def _links(a: tuple, b: tuple | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class ids of a block, or of two, and how many documents of the other classes they link with."""
+    i, j = _similar(a, b or a, threshold)
+    one, two = a[0][i], (b or a)[0][j]
+    weight_one, weight_two = a[1][i], (b or a)[1][j]
+    # an id with several sets counts once, and not with itself
+    first = np.arange(len(one))
+    if any(len(np.unique(x[0])) < len(x[0]) for x in (a, b or a)):
+        _, first = np.unique(np.stack([one, two]), axis=1, return_index=True)
+    first = first[one[first] != two[first]]
+    ids, weights = one[first], weight_two[first]
+    if b:
+        ids, weights = np.concatenate((ids, two[first])), np.concatenate((weights, weight_one[first]))
+    ids, at = np.unique(ids, return_inverse=True)
+    return ids, np.bincount(at, weights=weights, minlength=len(ids)).astype(np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, which follow each other, also across batches."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        values = np.stack([table[k].to_numpy() for k in keys])
+        starts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
+        if held and any(held[-1][k][-1].as_py() != table[k][0].as_py() for k in keys):
+            yield pa.concat_tables(held)
+            held = []
+        for begin, end in zip(starts, starts[1:], strict=False):
+            if begin and held:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(begin, end - begin))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _counted_links(found: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(class_id, component, members, n_links) of every class, from the components (class_id, component)."""
+    members = classes.where("class_id is not null").groupBy("class_id").agg(F.count_distinct("doc_id").alias("members"), F.max("n").alias("n"))
+    members = scratch.save(members.join(found, "class_id", "left"), "members")
+    linked = members.where("component is not null").select(F.col("class_id").alias("doc_id"), "component", "members", "n")
+    size = F.least(F.greatest(F.col("k") / BLOCKS, F.lit(BLOCK)), F.lit(MOST_BLOCK))
+    full = linked.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    full = full.select("component", F.ceil(F.greatest(F.col("k") / size, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    full = scratch.save(full, "full")
+    small = full.count() <= BROADCAST_COMPONENTS
+    rows = sets.select("doc_id", "text").join(linked.drop("n"), "doc_id").join(F.broadcast(full) if small else full, "component", "left")
+    rows = rows.select("component", F.coalesce("blocks", F.lit(1)).alias("blocks"), "doc_id", "members", "text").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of whole components, the blocks of others."""
+        for rows in _groups(batches, ["component", "block"]):
+            values, n = _sets(rows["text"])
+            block = (rows["doc_id"].to_numpy(), rows["members"].to_numpy(), n, values)
+            whole = rows["blocks"][0].as_py() == 1
+            ids, links = _links(block, None, threshold) if whole else (np.zeros(1, np.int64),) * 2
+            blank = lambda x, kind: pa.nulls(len(ids), kind) if whole else pa.array([x], kind)  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids),
+                    pa.array(links),
+                    blank(rows["component"][0].as_py(), pa.int64()),
+                    blank(rows["blocks"][0].as_py(), pa.int32()),
+                    blank(rows["block"][0].as_py(), pa.int32()),
+                    blank(np.concatenate(block[:3]).astype(np.int64).tobytes(), pa.binary()),
+                    blank(values.tobytes(), pa.binary()),
+                ],
+                names=["class_id", "n", "component", "blocks", "block", "head", "shingles"],
+            )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["component", "lo", "hi"]):
+            blocks = []
+            for head, shingles in zip(rows["head"].to_pylist(), rows["shingles"].to_pylist(), strict=True):
+                blocks.append((*np.frombuffer(head, np.int64).reshape(3, -1), np.frombuffer(shingles, np.uint64)))
+            lone = rows["lo"][0].as_py() == rows["hi"][0].as_py()
+            # a block that hashing has left empty meets nothing
+            if lone or len(blocks) == 2:
+                ids, links = _links(blocks[0], None if lone else blocks[1], threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["class_id", "n"])
+
+    dealt = rows.repartition("component", "block").sortWithinPartitions("component", "block")
+    dealt = scratch.save(dealt.mapInArrow(deal, "class_id long, n long, component long, blocks int, block int, head binary, shingles binary"), "blocks")
+    calls = dealt.where("component is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    calls = calls.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "head", "shingles")
+    met = calls.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(meet, "class_id long, n long")
+    links = dealt.where("component is null").select("class_id", "n").union(met).groupBy("class_id").agg(F.sum("n").alias("n_links"))
+    out = scratch.save(members.drop("n").join(links, "class_id", "left"), "linked")
+    scratch.drop("members", "full", "blocks")
+    return out
+
+
+def by_class(classes: DataFrame, found: DataFrame, *more: Column) -> DataFrame:
     out = classes.join(found, "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id"), *more)
 
 
 def join(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id."""
+    """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id, n_links."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     classes, sets = classes_of(docs, text, scratch)
-    found = _found(classes, sets, threshold, scratch)
+    found = _counted_links(_found(classes, sets, threshold, scratch), classes, sets, threshold, scratch)
     scratch.drop_bucketed("sets")
-    return by_class(classes, found)
+    n_links = F.coalesce("n_links", F.lit(0)) + F.coalesce(F.col("members") - 1, F.lit(0))
+    return by_class(classes, found, n_links.cast("long").alias("n_links"))
 
 
 def _found(classes: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
