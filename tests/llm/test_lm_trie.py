@@ -82,3 +82,9 @@ def test_needs_a_mounted_folder(spark, monkeypatch):
     monkeypatch.setattr(lm_trie, "shared_dir", lambda s: "hdfs://somewhere/x")
     with pytest.raises(ValueError, match="mounted"):
         lm_trie.local_dir(spark)
+
+
+def test_phrases_seen_once_count(spark):
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(40)]
+    got = lm_trie.model_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("not held_out").collect()
+    assert got and all(r["score"] > r["base_score"] + 1 for r in got)

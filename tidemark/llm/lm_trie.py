@@ -2,7 +2,7 @@
 
 The model is an interpolated trigram model with absolute discounting; its unigrams are
 add-one estimates over all training tokens, its bigrams and trigrams those seen LEAST
-times or more. Texts are read three times, once for the counts of each order, and a
+times or more, which is all of them. Texts are read three times, once for the counts of each order, and a
 fourth time to be scored. Counts are merged per task in numpy, packed, and summed per
 shard by Spark; each shard writes its part of a level into the folder that
 spark.checkpoint.dir names, and every task maps the parts it needs into memory. Nothing
@@ -51,7 +51,7 @@ from .common import shared_dir
 from .language_id import held_out_fold
 
 #: N-grams of two and three words seen less often are left to the shorter ones.
-LEAST = 2
+LEAST = 1
 DISCOUNT = 0.6
 #: Bytes of training text that a shard stands for, of text worked on at once, and packed counts of a task.
 SHARD, SLICE, HELD = 1 << 25, 1 << 22, 4_000_000
