@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -15,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (tests, one machine) a temporary folder is made and set.
+    Where it is unset on one machine (tests) a temporary folder is made and set; on a cluster
+    that would be a folder which the executors don't see, so an unset one is an error there.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -30,15 +35,18 @@ class Scratch:
     """Intermediate Parquet tables of one run in the shared folder.
 
     A written table cuts the lineage and survives the loss of executors. Tables
-    that no later step reads are dropped as soon as that is known.
+    that no later step reads are dropped as soon as that is known. What a result still reads
+    stays until clear(), which a pipeline calls once the result is written, or the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
+        atexit.register(self._at_exit)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}" if name else self.root
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
@@ -49,6 +57,7 @@ class Scratch:
 
         Later joins on the keys read it without moving it again.
         """
+        self.tables.append(name)
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         df.write.bucketBy(buckets, *keys).option("path", self.path(name)).saveAsTable(self._name(name))
         return self.spark.table(self._name(name))
@@ -56,8 +65,20 @@ class Scratch:
     def drop_bucketed(self, *names: str) -> None:
         for name in names:
             self.spark.sql(f"drop table if exists {self._name(name)}")
+            self.tables = [x for x in self.tables if x != name]
         self.drop(*names)
 
+    def clear(self) -> None:
+        """Everything goes."""
+        self.drop_bucketed(*self.tables)
+        self.drop("")
+        atexit.unregister(self._at_exit)
+
+    def _at_exit(self) -> None:
+        # a session that has ended takes no more calls
+        with contextlib.suppress(Exception):
+            self.clear()
+
     def _name(self, name: str) -> str:
         return f"{name}_{self.root.rpartition('-')[2]}"
 
