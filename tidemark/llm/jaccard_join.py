@@ -287,7 +287,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 def classes_of(docs: DataFrame, text: str, scratch: Scratch, rows_too: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class_id) of all rows, and (doc_id, text) of one row of each class, in buckets.
 
-    With rows_too the second also has the whole rows, as a struct `row`.
+    With rows_too the second also has the other columns of the rows, as a struct `row`. Texts
+    are moved once, into the buckets, and later steps read them there.
     """
     rows = scratch.save(_described(docs, text), "rows")
     usable = rows.where("n > 0 and doc_id is not null")
@@ -296,8 +297,9 @@ def classes_of(docs: DataFrame, text: str, scratch: Scratch, rows_too: bool = Fa
     classes = rows.join(heads, "digest", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
     classes = scratch.save(classes, "classes")
     least = classes.where("doc_id = class_id").select("doc_id").distinct()
-    whole = [F.struct(*docs.columns).alias("row")] if rows_too else []
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), *whole).join(least, "doc_id", "left_semi")
+    whole = [F.struct(*(c for c in docs.columns if c != text)).alias("row")] if rows_too else []
+    # by a merge at every size, since the rows are dealt to buckets by id anyway
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), *whole).join(least.hint("merge"), "doc_id", "left_semi")
     sets = scratch.bucketed(sets, "sets", "doc_id")
     return classes, sets
 
@@ -331,7 +333,8 @@ def settled(lists: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch)
     more = scratch.save(_verified(scratch.save(rest, "rest"), sets, threshold), "more")
     stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = components(stars.union(more), scratch, "second")
-    scratch.drop("open", "open_keys", "rest", "near")
+    found = scratch.save(found, "parts")
+    scratch.drop("open", "open_keys", "rest", "near", "links", "more", "known")
     return found
 
 
@@ -445,17 +448,17 @@ def _counted_links(found: DataFrame, classes: DataFrame, sets: DataFrame, thresh
     met = calls.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(meet, "class_id long, n long")
     links = dealt.where("component is null").select("class_id", "n").union(met).groupBy("class_id").agg(F.sum("n").alias("n_links"))
     out = scratch.save(members.drop("n").join(links, "class_id", "left"), "linked")
-    scratch.drop("members", "full", "blocks")
+    scratch.drop("members", "full", "blocks", "parts")
     return out
 
 
 def by_class(classes: DataFrame, found: DataFrame, *more: Column) -> DataFrame:
     out = classes.join(found, "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id"), *more)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"), "class_id", *more)
 
 
 def join(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id, n_links."""
+    """Per row: doc_id, n_shingles, component_id, class_id (least id with the same set), n_links."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     classes, sets = classes_of(docs, text, scratch)
     found = _counted_links(_found(classes, sets, threshold, scratch), classes, sets, threshold, scratch)
@@ -475,19 +478,22 @@ def _found(classes: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch
     return found
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One document of each component, the one with the least id; the columns of the input.
 
+    The result reads the tables of scratch, which the caller clears once it is written.
+
     Rows with a null id stay, as they are linked with nothing. Of rows with the same id,
     which are one document, all stay or none does.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     classes, sets = classes_of(docs, text, scratch, rows_too=True)
     found = by_class(classes, _found(classes, sets, threshold, scratch))
     gone = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     # what stays is a class's own row, and those lie in buckets by id already; rows without
     # words or id have no class and are few
-    kept = sets.join(gone, "doc_id", "left_anti").select("row.*")
+    kept = sets.join(gone.hint("merge"), "doc_id", "left_anti")
+    kept = kept.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     bare = docs.where(~worded | F.col("doc_id").isNull())
     taken = sets.select("doc_id").union(gone).distinct()

@@ -201,7 +201,7 @@ def band_keys(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id.
+    """Per row: doc_id, n_shingles, component_id, class_id (least id with the same set).
 
     Sets that share a band of the signature meet in a list; the sets of a list are
     verified against each other on all their shingles, as in the Jaccard join, so that

@@ -105,15 +105,20 @@ def _pairs(text: Column, kind: str) -> Column:
 
 
 def spans(text: Column, kind: str) -> Column:
-    """Struct of n, spans (kind:start:end joined by commas) and scored (with the score)."""
-    empty = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit("").alias("spans"), F.lit("").alias("scored"))
+    """Struct of n, spans (kind:start:end joined by commas) and scored (with the score).
+
+    The context of a match is what stands within WINDOW characters of it in the text; the
+    text before it is gathered from match to match, so that a context may reach over others.
+    """
+    empty = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit("").alias("spans"), F.lit("").alias("scored"), F.lit("").alias("past"))
 
     def step(a: Column, x: Column) -> Column:
-        hit, before, after = x["hit"], x["before"], x["after"]
+        hit, before = x["hit"], x["before"]
         start = a["pos"] + F.length(before)
         end = start + F.length(hit)
         ok = VALID[kind](hit)
-        near = F.lower(F.concat(F.right(before, F.lit(WINDOW)), F.lit(" "), F.left(after, F.lit(WINDOW))))
+        past = F.right(F.concat(a["past"], before), F.lit(WINDOW))
+        near = F.lower(F.concat(past, F.lit(" "), F.substring(text, (end + 1).cast("int"), F.lit(WINDOW))))
         score = F.lit(CONFIDENCE[kind]) + F.when(near.rlike(CONTEXT[kind]), 0.15).otherwise(0.0) - F.when(near.rlike(AGAINST), 0.1).otherwise(0.0)
         span = F.concat_ws(":", F.lit(kind), start.cast("string"), end.cast("string"))
         add = lambda so_far, what: F.when(ok, F.concat(so_far, F.when(so_far == "", "").otherwise(","), what)).otherwise(so_far)
@@ -122,6 +127,7 @@ def spans(text: Column, kind: str) -> Column:
             (a["n"] + ok.cast("long")).alias("n"),
             add(a["spans"], span).alias("spans"),
             add(a["scored"], F.concat_ws(":", span, F.format_number(score, 2))).alias("scored"),
+            F.right(F.concat(past, hit), F.lit(WINDOW)).alias("past"),
         )
 
     return F.when(_MAY[kind](text), F.aggregate(_pairs(text, kind), empty, step)).otherwise(empty)
@@ -155,8 +161,9 @@ def report(docs: DataFrame) -> DataFrame:
     joined = lambda kinds, field: F.array_join(F.filter(F.array(*(F.col(k)[field] for k in kinds)), lambda x: x != ""), ",")
     return detect(docs).select(
         "doc_id",
-        *(F.col(k)["n"].alias(f"n_{k}") for k in KINDS),
+        *(F.col(k)["n"].alias(f"n_{k}") for k in BASE),
         F.sha2(joined(BASE, "spans"), 256).alias("base_sha256"),
         joined(KINDS, "spans").alias("spans"),
+        F.col("iban")["n"].alias("n_iban"),
         joined(KINDS, "scored").alias("scored_spans"),
     )
