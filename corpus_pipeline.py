@@ -1,64 +1,10 @@
-"""The corpus pipeline: from documents to the pieces of a mixed, deduplicated training set.
-
-Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
-returns a DataFrame that is written as Parquet and read again. All stages but the last
-return the columns of `documents`.
-
-1. quality: documents that the co-trained classifier rejects go.
-2. near_duplicates: one document of each component of the Jaccard join stays, the one
-   with the least id.
-3. personal_data: confirmed spans of personal data become marks; n_chars follows the text.
-4. mixing: sources are mixed to their target weights; a document comes as often as the mix
-   takes it, its last copy cut to the words that are left of the source's quota.
-5. pieces: the SentencePiece pieces of every document.
-"""
+"""The corpus pipeline, as the driver looks for it; its stages are in tidemark.llm.pipeline."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import jaccard_join, mixing, pieces, pii
-from tidemark.llm import quality as quality_classifier
-
-
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def _with_length(docs: DataFrame) -> DataFrame:
-    """n_chars as the length of the text, where the table has that column."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_classifier.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.deduplicate(docs)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_length(pii.mask(docs))
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_length(mixing.materialise(docs))
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs).select("doc_id", "n_pieces", "pieces", "round_trip")
-
-
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mix), ("pieces", encode)]
+from tidemark.llm.pipeline import STAGES, run
 
 #: The classifier and the tokenizer can't be said in SQL; the tests compare stages with brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
