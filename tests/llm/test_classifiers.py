@@ -25,14 +25,51 @@ def test_quality_views_learn_from_each_other():
     label = rng.integers(0, 2, 600)
     content = label[:, None] * 2.0 + rng.standard_normal((600, 3))
     meta = label[:, None] * 2.0 + rng.standard_normal((600, 2))
-    seen = np.where(np.arange(600) < 60, label, -1)
-    model = quality.co_train(content, meta, seen)
+    first, rest = np.arange(600) < 60, np.arange(600) >= 60
+    model = quality.co_train(content[first], meta[first], label[first], lambda m: quality.handed(m, (content[rest], meta[rest])))
     from tidemark.llm import logistic
 
     z = np.stack([logistic.predict(own, logistic.predict(view, x)[:, None]) for (view, own), x in zip(model["views"], (content, meta), strict=True)], 1)
     assert ((logistic.predict(model["both"], z) > 0) == label)[60:].mean() > 0.95
 
 
+def test_quality_against_plain_loops(spark, sf):
+    """All unlabelled rows take part: sums of plain loops over rows give the same scores as Spark's."""
+    from tidemark.llm import logistic
+
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1)}
+    rows = quality._needed(docs).orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    content, meta = (x.astype(np.float32).astype(float) for x in quality._views(rows))
+    ids = rows.column(0).to_pylist()
+    mine = np.array([i in known for i in ids])
+    label = np.array([known.get(i, -1) for i in ids])
+
+    def loops(models):
+        out = []
+        for v, x in enumerate((content, meta)):
+            w, centre, scale = models[v][0]
+            n, g, h = [0, 0], [np.zeros(len(w)), np.zeros(len(w))], [np.zeros((len(w), len(w))), np.zeros((len(w), len(w)))]
+            for k in np.flatnonzero(~mine):
+                p = [1 / (1 + np.exp(-quality._odds(models[u], (content, meta)[u][k : k + 1])[0])) for u in (0, 1)]
+                said = [1 if q >= quality.SURE else 0 if q <= 1 - quality.SURE else None for q in p]
+                cls = said[1 - v]
+                if cls is None or (said[v] is not None and said[v] != cls):
+                    continue
+                z = np.append(1.0, (x[k] - centre) / scale)
+                q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                n[cls], g[cls], h[cls] = n[cls] + 1, g[cls] + (q - cls) * z, h[cls] + q * (1 - q) * np.outer(z, z)
+            out.append(np.concatenate([y for c in (0, 1) for y in ([n[c]], g[c], h[c].ravel())]))
+        return out
+
+    rates = {c: int((label == c).sum()) for c in (0, 1)}
+    model = quality.co_train(content[mine], meta[mine], label[mine], loops, rates=rates)
+    z = np.stack([quality._odds(m, x) for m, x in zip(model["views"], (content, meta), strict=True)], 1)
+    wanted = dict(zip(ids, logistic.sigmoid(logistic.predict(model["both"], z)), strict=True))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-3 for k in got)
+
+
 def test_quality_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (4, 7)], "doc_id long, quality int")

@@ -3,14 +3,17 @@
 The content view sees what is written: shares of pairs of character classes, how many
 words are distinct, repeated at once, shouted or marked. The metadata view sees what a
 crawler knows of the page without reading it: source, language, length and layout of
-lines. Each view has a logistic classifier. In every round each of them labels the
-unlabelled documents of a pool that it is sure of, and these go to the other view's
-training rows. Both views are then calibrated on labelled rows that neither has seen, and
-their log-odds are combined by a third logistic function that scores all documents. Both
-fits weigh the classes as they are among all labelled documents, however many are sampled.
-
-The classifiers are fitted on the driver, on at most SAMPLE labelled rows a class and POOL
-unlabelled rows, the first by a hash of the id; scoring covers every row.
+lines. Each view has a logistic classifier, first fitted on labelled rows. In every round
+both score all other documents in Spark, and each hands those that it is sure of, as
+pseudo-labels, to the other: the tasks add up gradient and curvature of the other view's
+loss over them, which are matrices of fixed size, and the driver takes Newton steps with
+these and its labelled rows. The pseudo-labels of a class weigh together PSEUDO times what its
+labelled rows weigh, however many they are. Both views are then calibrated on labelled rows that neither has
+seen, and their log-odds are combined by a third logistic function that scores all documents.
+Both fits weigh the classes as they are among all labelled documents, however many are sampled.
+
+Labelled rows are bounded, at most SAMPLE a class, the first by a hash of the id; all
+documents outside this sample are the unlabelled side, in every round.
 
 Defined results
 ---------------
@@ -24,7 +27,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,14 @@ from pyspark.sql import functions as F
 from . import logistic, vectext
 from .language_id import held_out_fold
 
-#: Labelled rows a class and unlabelled rows that the classifiers are fitted on, at most.
-SAMPLE, POOL = 2000, 4000
-ROUNDS = 4
-#: Pseudo-labels of a class that a view hands over in a round, at most, and how sure it is of them.
-HANDED, SURE = 200, 0.98
+#: Labelled rows a class that the classifiers are fitted on, at most.
+SAMPLE = 4000
+ROUNDS = 3
+#: How sure a view is of the pseudo-labels that it hands over, and what those of a class weigh beside labelled rows.
+SURE, PSEUDO = 0.98, 0.5
+RIDGE = 3.0
+#: Numbers of the summed matrices that are sent in a row.
+CHUNK = 4096
 #: A document is kept from this score on.
 KEEP = 0.5
 
@@ -118,7 +124,7 @@ def _needed(docs: DataFrame) -> DataFrame:
 
 
 def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views and the label (-1: none) of a bounded set of documents."""
+    """Both views and the label of a bounded set of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,64 +143,132 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray
     return x[first, :width].astype(np.float64), x[first, width:].astype(np.float64), got["cls"].to_numpy()[first].astype(int)
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, rates: dict[int, int] | None = None) -> dict | None:
-    """The fitted views and their combination; label -1 marks the unlabelled pool.
+def handed(models: list, views: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """What each view learns from the other's pseudo-labels over some rows, one array a view.
+
+    An array holds, for class 0 and then 1, the number of rows, the gradient and the curvature
+    of the view's loss at its present weights. Rows of which the views are sure of different
+    classes count for neither.
+    """
+    p = [logistic.sigmoid(_odds(m, x)) for m, x in zip(models, views, strict=True)]
+    sure = [np.where(q >= SURE, 1, np.where(q <= 1 - SURE, 0, -1)) for q in p]
+    torn = (sure[0] >= 0) & (sure[1] >= 0) & (sure[0] != sure[1])
+    out = []
+    for v in (0, 1):
+        w, centre, scale = models[v][0]
+        sums = []
+        for cls in (0, 1):
+            mine = (sure[1 - v] == cls) & ~torn
+            z = np.hstack([np.ones((int(mine.sum()), 1)), (views[v][mine] - centre) / scale])
+            q = logistic.sigmoid(np.clip(z @ w, -30, 30))
+            sums += [[len(z)], z.T @ (q - cls), ((z * (q * (1 - q))[:, None]).T @ z).ravel()]
+        out.append(np.concatenate(sums))
+    return out
+
+
+def _odds(model: tuple, x: np.ndarray) -> np.ndarray:
+    return logistic.predict(model[1], logistic.predict(model[0], x)[:, None])
+
+
+def _stepped(model: tuple, sums: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple:
+    """The view's weights after Newton steps over its labelled rows and the pseudo-labels' quadratic."""
+    w, centre, scale = model
+    k = len(w)
+    parts = []
+    for cls, part in enumerate(np.split(sums, 2)):
+        share = PSEUDO * weight[y == cls].sum() / max(1.0, part[0])
+        parts.append((share * part[1 : 1 + k], share * part[1 + k :].reshape(k, k)))
+    z = np.hstack([np.ones((len(x), 1)), (x - centre) / scale])
+    start = w
+    for _ in range(60):
+        p = logistic.sigmoid(np.clip(z @ w, -30, 30))
+        g = z.T @ (weight * (p - y)) + RIDGE * w + sum(a + h @ (w - start) for a, h in parts)
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(k) + sum(h for _, h in parts)
+        step = np.linalg.solve(hess, g)
+        w = w - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w, centre, scale
+
 
-    rates: how many documents have each label, where label holds a sample of them.
+def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, unlabelled: Callable[[list], list[np.ndarray]], rounds: int = ROUNDS, rates: dict[int, int] | None = None) -> dict | None:
+    """The fitted views and their combination, from labelled rows and what others say.
+
+    unlabelled: gives `handed` summed over all unlabelled rows. rates: how many documents have
+    each label, where label holds a sample of them.
     """
     views = (content, meta)
-    labelled = np.flatnonzero(label >= 0)
     # one labelled row in three is kept for calibration
-    later = labelled[np.arange(len(labelled)) % 3 == 0]
-    early = np.setdiff1d(labelled, later)
+    later = np.arange(0, len(label), 3)
+    early = np.setdiff1d(np.arange(len(label)), later)
     if len(set(label[early])) < 2 or len(set(label[later])) < 2:
         return None
-    rows = [early.copy(), early.copy()]
-    targets = [label[early].astype(float), label[early].astype(float)]
-    free = np.flatnonzero(label < 0)
     # the sample holds classes in other parts than the labels do
     y = label[later].astype(float)
     true = np.ones(len(y)) if rates is None else np.where(y == 1, rates[1] / (y == 1).sum(), rates[0] / (y == 0).sum())
     true = true * len(y) / true.sum()
+    target = label[early].astype(float)
+    weight = np.where(target == 1, 0.5 / (target == 1).sum(), 0.5 / (target == 0).sum()) * len(target)
 
-    def fitted(v: int):
-        weight = np.where(targets[v] == 1, 0.5 / max(1, (targets[v] == 1).sum()), 0.5 / max(1, (targets[v] == 0).sum()))
-        model = logistic.fit(views[v][rows[v]], targets[v], weight * len(weight), ridge=3.0)
-        # calibrated on rows that the view has not seen
-        raw = logistic.predict(model, views[v][later])
-        return model, logistic.fit(raw[:, None], y, true)
-
-    def odds(model, x: np.ndarray) -> np.ndarray:
-        return logistic.predict(model[1], logistic.predict(model[0], x)[:, None])
+    def calibrated(model: tuple, v: int) -> tuple:
+        return model, logistic.fit(logistic.predict(model, views[v][later])[:, None], y, true)
 
+    models = [calibrated(logistic.fit(views[v][early], target, weight, ridge=RIDGE), v) for v in (0, 1)]
     for _ in range(rounds):
-        models = [fitted(0), fitted(1)]
-        if not len(free):
-            break
-        taken = np.zeros(len(free), bool)
-        for v in (0, 1):
-            p = logistic.sigmoid(odds(models[v], views[v][free]))
-            for cls, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:HANDED]
-                best = best[(sure[best] >= SURE) & ~taken[best]]
-                taken[best] = True
-                rows[1 - v] = np.append(rows[1 - v], free[best])
-                targets[1 - v] = np.append(targets[1 - v], np.full(len(best), float(cls)))
-        free = free[~taken]
-    models = [fitted(0), fitted(1)]
-    both = np.stack([odds(models[v], views[v][later]) for v in (0, 1)], 1)
+        sums = unlabelled(models)
+        models = [calibrated(_stepped(models[v][0], sums[v], views[v][early], target, weight), v) for v in (0, 1)]
+    both = np.stack([_odds(models[v], views[v][later]) for v in (0, 1)], 1)
     return {"views": models, "both": logistic.fit(both, y, true)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, pool: int = POOL) -> dict | None:
+def _handed_by_all(docs: DataFrame, chosen: DataFrame) -> Callable[[list], list[np.ndarray]]:
+    """`handed` over all documents but the chosen ones, added up by Spark in chunks of fixed size."""
+    rest = _needed(docs).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+
+    def unlabelled(models: list) -> list[np.ndarray]:
+        shared = docs.sparkSession.sparkContext.broadcast(models)
+        size = [2 * (1 + len(m[0][0]) + len(m[0][0]) ** 2) for m in models]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [np.zeros(n) for n in size]
+            for batch in batches:
+                for part in vectext.slices(batch):
+                    for have, more in zip(total, handed(shared.value, _views(part)), strict=True):
+                        have += more
+            flat = np.concatenate(total)
+            if flat.any():
+                chunks = [flat[k : k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "sums"])
+
+        def add(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(min(CHUNK, sum(size) - key[0].as_py() * CHUNK))
+            for batch in groups:
+                for x in batch.column(1):
+                    total += np.frombuffer(x.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "sums"])
+
+        kind = "chunk int, sums binary"
+        flat = np.zeros(sum(size))
+        for row in rest.mapInArrow(run, kind).groupBy("chunk").applyInArrow(add, kind).collect():
+            flat[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["sums"])
+        shared.unpersist()
+        return [flat[: size[0]], flat[size[0] :]]
+
+    return unlabelled
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict | None:
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("cls"))
     present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     rates = {r["cls"]: r["n"] for r in present.groupBy("cls").agg(F.count("*").alias("n")).collect()}
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("cls = 0").orderBy(*first).limit(sample).union(known.where("cls = 1").orderBy(*first).limit(sample))
-    rest = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id").limit(pool).distinct()
-    rest = rest.join(known, "doc_id", "left_anti").withColumn("cls", F.lit(-1))
-    return co_train(*_sampled(docs, picked.union(rest)), rates=rates)
+    picked = [known.where(f"cls = {c}").orderBy(*first).limit(sample) for c in (0, 1)]
+    # a bounded number of ids, fixed before it is joined again and again
+    ids = picked[0].union(picked[1]).toArrow()
+    if not len(ids):
+        return None
+    chosen = docs.sparkSession.createDataFrame(ids, known.schema)
+    return co_train(*_sampled(docs, chosen), _handed_by_all(docs, chosen), rates=rates)
 
 
 def score(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
