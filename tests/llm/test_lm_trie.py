@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -88,3 +89,15 @@ def test_phrases_seen_once_count(spark):
     rows = [(i, f"a{i} b{i} c{i}") for i in range(40)]
     got = lm_trie.model_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("not held_out").collect()
     assert got and all(r["score"] > r["base_score"] + 1 for r in got)
+
+
+def test_a_lost_shard_is_an_error(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trie = lm_trie.build(docs.limit(50))
+    lm_trie.score(docs, trie).count()
+    os.remove(f"{trie.root}/2/0")
+    lm_trie._mapped.cache_clear()
+    with pytest.raises(Exception, match="No such file"):
+        lm_trie.score(docs.repartition(3), trie).write.format("noop").mode("overwrite").save()
+    trie.remove()
+    assert not os.path.exists(trie.root)

@@ -28,14 +28,19 @@ Defined results
 * repeated rows count and are scored as rows; extra columns are ignored; an empty table
   gives no rows; texts are read whole, however long.
 * words are told apart by 64-bit hashes; up to 2^32 different words.
+* the folder of spark.checkpoint.dir has to be mounted on driver and executors, otherwise
+  building raises a ValueError; a shard that was written and is not found where it is needed
+  raises a FileNotFoundError. The levels are deleted by remove(), or when the program ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import functools
 import json
 import mmap
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -133,13 +138,10 @@ def _store(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 @functools.lru_cache(maxsize=100_000)
-def _mapped(path: str) -> dict | None:
-    """The arrays of a file, mapped into memory; None where no shard was written."""
-    try:
-        with open(path, "rb") as f:
-            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-    except FileNotFoundError:
-        return None
+def _mapped(path: str) -> dict:
+    """The arrays of a file, mapped into memory."""
+    with open(path, "rb") as f:
+        raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
     end = raw.find(b"\n")
     out: dict = {}
     for name, (kind, n, at) in json.loads(raw[:end]).items():
@@ -245,9 +247,16 @@ class Trie:
         self.word_base = self.token_base = np.zeros(shards, np.int64)
         self.pair_low = self.pair_lead = np.zeros(shards, np.int64)
         self.edge_ids, self.edge_backoff = np.zeros(0, np.int64), np.zeros(0)
+        self.written = {n: np.zeros(shards, bool) for n in (1, 2, 3)}
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
 
     def level(self, number: int, shard: int) -> dict | None:
-        return _mapped(f"{self.root}/{number}/{shard}")
+        """A shard of a level; None where it has no n-grams. A written one that is not there is an error."""
+        return _mapped(f"{self.root}/{number}/{shard}") if self.written[number][shard] else None
+
+    def remove(self) -> None:
+        """Deletes the levels; what has been scored from them has to be written before."""
+        shutil.rmtree(self.root, ignore_errors=True)
 
     def word_shard(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
@@ -256,10 +265,8 @@ class Trie:
         """Numbers (-1: unknown), counts and the tokens before, of sorted hashes."""
         number, count, before = np.full(len(h), -1), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         shard = self.word_shard(h)
-        edges = np.searchsorted(shard, np.arange(self.shards + 1))
-        for s in range(self.shards):
-            a, b = int(edges[s]), int(edges[s + 1])
-            part = self.level(1, s) if a < b else None
+        for s, a, b in _runs(shard):
+            part = self.level(1, s)
             if part is None:
                 continue
             at = np.searchsorted(part["hash"], h[a:b])
@@ -298,10 +305,9 @@ class Trie:
         """Places in their shards (-1: none), probabilities, and the places among a's successors."""
         place, prob, relative = np.full(len(a), -1), np.zeros(len(a)), np.zeros(len(a), np.int64)
         order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            mine = order[edges[s] : edges[s + 1]]
-            part = self.level(2, s) if len(mine) else None
+        for s, first, last in _runs(shard[order]):
+            mine = order[first:last]
+            part = self.level(2, s)
             if part is None:
                 continue
             context, at = np.unique(a[mine] - self.pair_low[s], return_inverse=True)
@@ -319,10 +325,9 @@ class Trie:
         """(probability, backoff of the pair) of the pair and, where wanted, a successor's relative place."""
         prob, backoff = np.zeros(len(pair)), np.ones(len(pair))
         order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            mine = order[edges[s] : edges[s + 1]]
-            part = self.level(3, s) if len(mine) else None
+        for s, first, last in _runs(shard[order]):
+            mine = order[first:last]
+            part = self.level(3, s)
             if part is None:
                 continue
             backoff[mine] = _DECODE[part["backoff"][pair[mine]]]
@@ -333,6 +338,14 @@ class Trie:
         return prob, backoff
 
 
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, first, last + 1) of every shard that occurs in sorted numbers."""
+    if not len(shard):
+        return
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    yield from zip(shard[first].tolist(), first.tolist(), np.append(first[1:], len(shard)).tolist(), strict=True)
+
+
 def _ranges(pointer: dict, context: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     inside = (context >= 0) & (context < n)
     safe = np.where(inside, context, 0)
@@ -411,6 +424,7 @@ def build(train: DataFrame, text: str = "text") -> Trie:
     words, tokens = np.zeros(trie.shards, np.int64), np.zeros(trie.shards, np.int64)
     for r in per_shard(rows.mapInArrow(count_words, _SENT), write_words, "shard long, words long, tokens long"):
         words[r["shard"]], tokens[r["shard"]] = r["words"], r["tokens"]
+        trie.written[1][r["shard"]] = True
     trie.words, trie.tokens = int(words.sum()), int(tokens.sum())
     trie.word_base, trie.token_base = np.cumsum(words) - words, np.cumsum(tokens) - tokens
     if trie.words >= 1 << 32:
@@ -448,6 +462,7 @@ def _build_pairs(trie: Trie, rows: DataFrame, per_shard) -> None:
         yield pa.RecordBatch.from_pylist([{"shard": shard, "low": low, "high": high, "n": len(pair), "mass_low": float(mass[0]), "mass_high": float(mass[-1]), "many_low": int(many[0]), "many_high": int(many[-1])}])
 
     found = {r["shard"]: r for r in per_shard(rows.mapInArrow(count, _SENT), write, "shard long, low long, high long, n long, mass_low double, mass_high double, many_low long, many_high long")}
+    trie.written[2][list(found)] = True
     # contexts at the edges of shards can go on in the next one
     low, lead, edges = np.full(trie.shards, 1 << 40), np.zeros(trie.shards, np.int64), {}
     before: tuple[int, int] = (-1, 0)  # the last context so far and its successors so far
@@ -470,7 +485,7 @@ def _counts_of(trie: Trie, low: int, high: int) -> np.ndarray:
     """Counts of the words numbered low to high."""
     out = []
     first = max(0, int(np.searchsorted(trie.word_base, low, "right")) - 1)
-    for s in range(first, trie.shards):
+    for s in range(first, trie.shards):  # no further than high
         base = int(trie.word_base[s])
         if base > high:
             break
@@ -508,7 +523,7 @@ def _build_triples(trie: Trie, rows: DataFrame, per_shard) -> None:
         _store(f"{model.root}/3/{shard}", {"next": (triple & _LOW).astype(np.uint32), "prob": _quantised(own), "backoff": _quantised(1 - mass), **_named("pointer", pointer)})
         yield pa.RecordBatch.from_pylist([{"shard": shard, "n": len(triple)}])
 
-    per_shard(rows.mapInArrow(count, _SENT), write, "shard long, n long")
+    trie.written[3][[r["shard"] for r in per_shard(rows.mapInArrow(count, _SENT), write, "shard long, n long")]] = True
 
 
 # --- scoring ------------------------------------------------------------------------
