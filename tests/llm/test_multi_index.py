@@ -78,3 +78,12 @@ def test_traversal_visits_cells_by_distance():
     for i in range(5):
         sums = (a[i][:, None] + b[i][None]).ravel()
         assert np.allclose(sums[got[i]], np.sort(sums)[:20])
+
+
+def test_more_cells_until_the_recall_holds(monkeypatch):
+    """Vectors of which halves say little about each other: the first cells tried are too few."""
+    monkeypatch.setattr(multi_index, "FIRST_CELLS", 2)
+    rng = np.random.default_rng(3)
+    x = multi_index.unit(rng.normal(size=(3000, 4)))
+    index = multi_index.Index(x, np.array(["a"] * len(x)), 0.9, 40, 0.999)
+    assert index.visits > 8 and index.recall >= 0.999

@@ -5,11 +5,13 @@ is a grid of cells. Every vector lives in the cell of its nearest codewords. It
 cells in the order of the summed distances of their codewords, as the multi-sequence
 traversal of two sorted lists gives them, and as many of them as the target recall needs:
 that number is measured on sample pairs, real ones and ones made at the very threshold.
-In a visited cell every vector of the same label is verified by cosine in double
-precision, so nothing below the threshold is linked.
+If the cells tried are too few for it, more are tried, in the end all of them. In a visited
+cell every vector of the same label is verified by cosine in double precision, so nothing
+below the threshold is linked. The number of codewords grows with the square root of the
+number of vectors, so that cells stay of one size.
 
 Equal vectors of a label are one class with a number of members. A full cell is dealt in
-blocks, and a visitor goes to all of them. Tasks count links and send, of the links
+blocks, its visitors in parts, and every part meets every block. Tasks count links and send, of the links
 themselves, no more than a spanning star of what they have connected, so a group of k
 alike vectors costs k rows; its k * k comparisons are blocks of matrix products.
 
@@ -41,12 +43,14 @@ from .common import Scratch
 from .components import components
 
 THRESHOLD = 0.98
-#: Codewords of a half, vectors they are fitted on, rounds of k-means.
-CODEWORDS, SAMPLE, ROUNDS = 32, 20_000, 12
-#: Part of the similar pairs that the visited cells hold, and the most cells that are visited.
-RECALL, MOST_CELLS = 0.999, 256
-#: Vectors of a block of a cell, in the mean, and visitors compared with a block at once.
-BLOCK, VISITORS = 1024, 1024
+#: Vectors of a cell, in the mean, that the number of codewords aims at; least and most codewords of a half.
+CELL, LEAST_CODEWORDS, MOST_CODEWORDS = 64, 16, 1024
+#: Vectors that codebooks are fitted on, rounds of k-means.
+SAMPLE, ROUNDS = 20_000, 12
+#: Part of the similar pairs that the visited cells have to hold, and cells that are tried first.
+RECALL, FIRST_CELLS = 0.999, 256
+#: Vectors of a block of a cell and visitors of a part of it, in the mean; visitors compared with a block at once.
+BLOCK, PART, VISITORS = 1024, 2048, 1024
 #: Full cells up to this number are joined by broadcast, more by a shuffle.
 BROADCAST_CELLS = 50_000
 
@@ -129,15 +133,14 @@ class Index:
         self.half = max(1, self.width // 2)
         halves = (sample[:, : self.half], sample[:, self.half :]) if self.width > 1 else (sample, np.zeros((len(sample), 1)))
         self.books = [_codebook(x, codewords, seed) for seed, x in enumerate(halves)]
-        self.visits = 1
-        self.visits = self._needed(sample, label, threshold, recall)
+        self.visits, self.recall = self._needed(sample, label, threshold, recall)
 
     def cells(self, x: np.ndarray, n: int) -> np.ndarray:
         a, b = (x[:, : self.half], x[:, self.half :]) if self.width > 1 else (x, np.zeros((len(x), 1)))
         return traverse(_distances(a, self.books[0]), _distances(b, self.books[1]), n)
 
-    def _needed(self, sample: np.ndarray, label: np.ndarray, threshold: float, recall: float) -> int:
-        """Cells to visit until one of a pair meets the other in its home for the recall wanted."""
+    def _needed(self, sample: np.ndarray, label: np.ndarray, threshold: float, recall: float) -> tuple[int, float]:
+        """Cells to visit until one of a pair meets the other in its home for the recall wanted, and the recall."""
         rng = np.random.default_rng(7)
         some = sample[:4000]
         # pairs at the very threshold: a step at a right angle
@@ -151,14 +154,21 @@ class Index:
             keep = rng.permutation(len(a))[:2000]
             left.append(mine[a[keep]])
             right.append(mine[b[keep]])
-        ranks = []
-        for x, y in ((np.concatenate(left), np.concatenate(right)),):
-            for i in range(0, len(x), 2000):
-                p, q = self.cells(x[i : i + 2000], MOST_CELLS), self.cells(y[i : i + 2000], MOST_CELLS)
-                there = lambda seen, home: np.where((seen == home[:, :1]).any(1), (seen == home[:, :1]).argmax(1), MOST_CELLS)
+        x, y = np.concatenate(left), np.concatenate(right)
+        every = len(self.books[0]) * len(self.books[1])
+        tried = min(FIRST_CELLS, every)
+        while True:
+            ranks = []
+            for i in range(0, len(x), 500):
+                p, q = self.cells(x[i : i + 500], tried), self.cells(y[i : i + 500], tried)
+                there = lambda seen, home: np.where((seen == home[:, :1]).any(1), (seen == home[:, :1]).argmax(1), tried)  # noqa: E731,B023
                 ranks.append(np.minimum(there(p, q), there(q, p)))
-        ranks = np.sort(np.concatenate(ranks)) if ranks else np.zeros(1, np.int64)
-        return int(min(MOST_CELLS, ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] + 1)) if len(ranks) else 1
+            ranks = np.sort(np.concatenate(ranks)) if ranks else np.zeros(1, np.int64)
+            visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+            if visits <= tried or tried == every:
+                visits = min(visits, every)
+                return visits, float((ranks < visits).mean())
+            tried = min(4 * tried, every)
 
 
 def _described(vectors: DataFrame) -> DataFrame:
@@ -293,9 +303,14 @@ def _linked(met: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, codewords: int = CODEWORDS, recall: float = RECALL, sample: int = SAMPLE, id_col: str = "vec_id", embedding: str = "embedding", label: str = "label"
+    vectors: DataFrame, threshold: float = THRESHOLD, codewords: int | None = None, recall: float = RECALL, sample: int = SAMPLE, id_col: str = "vec_id", embedding: str = "embedding", label: str = "label"
 ) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept (it is its component's least id)."""
+    """Per row: vec_id, n_links, component_id, kept (it is its component's least id), visits, recall.
+
+    visits and recall are the index's: cells visited, and the part of the sample pairs that meet
+    in them (null where there is nothing to index). codewords: of a half; by the number of
+    vectors, where it is not given.
+    """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "multi_index")
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<float>").alias("embedding"))
@@ -307,23 +322,29 @@ def near_duplicates(
     first = scratch.save(first, "first")
 
     got = first.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("label", "embedding").toArrow().combine_chunks()
-    no_links = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    no_links = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("int").alias("visits"), F.lit(None).cast("double").alias("recall"))
     if not len(got):
         return no_links
+    codewords = codewords or int(np.clip(np.ceil(np.sqrt(first.count() / CELL)), LEAST_CODEWORDS, MOST_CODEWORDS))
     width = int(pc.max(pc.list_value_length(got["embedding"])).as_py())
     index = Index(_units(got["embedding"], width), got["label"].to_numpy(), threshold, codewords, recall)
 
     placed = scratch.save(_placed(first, index), "placed")
-    counts = placed.groupBy("label", F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    full = scratch.save(counts.select(F.col("label").alias("_label"), F.col("cell").alias("_cell"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "full")
+    homes = placed.groupBy("label", F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("v"))
+    visits = placed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("v"))
+    counts = homes.unionByName(visits).groupBy("label", "cell").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).where(f"n > {BLOCK} or (n > 0 and v > {PART})")
+    dealt = [F.greatest(F.lit(1), F.ceil(F.col(c) / size).cast("int")).alias(x) for c, size, x in (("n", BLOCK, "blocks"), ("v", PART, "parts"))]
+    full = scratch.save(counts.select(F.col("label").alias("_label"), F.col("cell").alias("_cell"), *dealt), "full")
     small = full.count() <= BROADCAST_CELLS
     same = lambda: (F.col("label") == F.col("_label")) & (F.col("cell") == F.col("_cell"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    one = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.coalesce(c, F.lit(1))).cast("int")
     data = placed.withColumn("cell", F.col("cells")[0]).join(F.broadcast(full) if small else full, same(), "left")
-    data = data.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    data = data.withColumn("block", one("blocks", 1)).withColumn("part", every("parts"))
     calls = placed.withColumn("cell", F.explode("cells")).join(F.broadcast(full) if small else full, same(), "left")
-    calls = calls.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    calls = calls.withColumn("block", every("blocks")).withColumn("part", one("parts", 2))
     # the cell stands first in the group's name, the label, which may hold anything, last
-    columns = lambda visitor: (F.concat_ws("|", "cell", "block", "label").alias("group"), F.lit(visitor).alias("visitor"), "vec_id", "members", "embedding", "cells")
+    columns = lambda visitor: (F.concat_ws("|", "cell", "block", "part", "label").alias("group"), F.lit(visitor).alias("visitor"), "vec_id", "members", "embedding", "cells")
     met = data.select(*columns(0)).union(calls.select(*columns(1)))
     found = scratch.save(_linked(met.repartition("group").sortWithinPartitions("group", "visitor"), threshold), "found")
 
@@ -337,4 +358,4 @@ def near_duplicates(
     out = rows.join(classes, mine, "left")
     component = F.coalesce("component", "class_id", "vec_id")
     links = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("members") - 1, F.lit(0))
-    return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(index.visits).alias("visits"), F.lit(index.recall).alias("recall"))
