@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,15 +103,22 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     runs = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = docs.select("doc_id")
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / runs for k in range(1, runs)], 0.1 / runs)))
-    edges = F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>")
-    # run 0 holds the largest ids; null ids come after all others
-    run = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(edges, lambda e: e >= F.col("doc_id"))))
+    # run 0 holds the largest ids; null ids come after all others. The borders are one constant,
+    # in pieces of which a row looks at one after it has looked at their first ones
+    step = max(1, int(len(cuts) ** 0.5))
+    pieces = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    heads_of = F.from_json(F.lit(json.dumps([p[0] for p in pieces])), "array<double>")
+    inner = F.from_json(F.lit(json.dumps(pieces)), "array<array<double>>")
+    below = F.size(F.filter(heads_of, lambda e: e < F.col("doc_id")))
+    smaller = F.when(below == 0, 0).otherwise((below - 1) * step + F.size(F.filter(F.element_at(inner, F.greatest(below, F.lit(1))), lambda e: e < F.col("doc_id"))))
+    run = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - (smaller if cuts else F.lit(0)))
     found = {r["run"]: r["head"] for r in ids.groupBy(run.alias("run")).agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(found)
     place = {r: k for k, r in enumerate(order)}
-    seq = F.element_at(F.create_map(*(F.lit(x) for kv in place.items() for x in kv)), run) if order else F.lit(0)
+    seq = F.element_at(F.from_json(F.lit(json.dumps([place.get(r, 0) for r in range(len(cuts) + 2)])), "array<int>"), run + 1)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), seq.alias("seq"))
     heads = [found[r] for r in order]
     known = [h for h in heads if h is not None]

@@ -18,6 +18,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
+def near_copies_by_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 1: signature bands joined, Jaccard similarity verified."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +56,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_lm_trie, op4_mixing, op5_toxicity, op6_multi_index, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_lm_trie, op4_mixing, op5_toxicity, op6_multi_index, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id, near_copies_by_bands)}
 
 
 def oracle_sql() -> dict[str, str]:
