@@ -8,8 +8,9 @@ fallback. Arrow batches of whole texts are encoded multithreaded.
 Where the normaliser is the identity and no piece crosses from a letter to a space, a text
 is cut before its runs of spaces and every distinct word of a batch is encoded once. Equal
 scores are settled by place in SentencePiece, which a merge list cannot say: runs of
-spaces, whose pieces all share one score, are merged by that rule, and each distinct word
-is encoded by the reference library too, whose pieces are taken should they ever differ.
+spaces, whose pieces all share one score, are merged by that rule. Each distinct word is
+encoded by the reference library too, and words whose pieces differ are counted; the pieces
+stay those of the rebuilt tokenizer.
 
 Defined results
 ---------------
@@ -183,7 +184,7 @@ class Codec:
         return out[1:] if self.normal.add_dummy_prefix and out.startswith(" ") else out
 
     def _learn(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int:
-        """Encodes the words (with the space before them) that are not known yet; how many were mended."""
+        """Encodes the words (with the space before them) that are not known yet; how many the reference library cuts otherwise."""
         keys, begin, sizes, good, flat = self.known
         at = np.searchsorted(keys, h)
         at[at == len(keys)] = 0
@@ -196,12 +197,11 @@ class Codec:
         raw, starts, ends = data.tobytes(), starts[new], ends[new]
         words = [raw[a:b].decode() for a, b in zip((starts + 1).tolist(), ends.tolist(), strict=True)]
         found = [e.ids for e in self.words.encode_batch_fast([(SPACE + w).replace(" ", SPACE) for w in words], add_special_tokens=False)]
-        mended = 0
+        differing = 0
         for k, (x, y) in enumerate(zip(found, self.reference.encode(words, num_threads=THREADS), strict=True)):
             if x != y and words[k]:
-                x = found[k] = self._merge_spaces(np.array(x, np.int32)).tolist()
-                if x != y:
-                    found[k], mended = y, mended + 1
+                found[k] = self._merge_spaces(np.array(x, np.int32)).tolist()
+                differing += found[k] != y
         n = np.array([*map(len, found)], np.int64)
         ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(n.sum()))
         # do the pieces' bytes give the word back?
@@ -215,22 +215,19 @@ class Codec:
         keys, order = np.unique(np.concatenate((keys, h[new])), return_index=True)
         begin = np.concatenate((begin, len(flat) + np.cumsum(n) - n))
         self.known = (keys, begin[order], np.concatenate((sizes, n))[order], np.concatenate((good, fine))[order], np.concatenate((flat, ids)))
-        return mended
+        return differing
 
     def encode_column(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(ids of all rows, their number per row, rows that decode to their text, mended words)."""
+        """(ids of all rows, their number per row, rows that decode to their text, words that the reference library cuts otherwise)."""
         plain = self.cuts and self.normal.add_dummy_prefix and self.normal.name == "identity" and not self.normal.remove_extra_whitespaces
         data, offs = vectext.utf8(column)
         if not plain or SPACE.encode() in data.tobytes():
             texts = [x or "" for x in column.to_pylist()]
             found = self.encode(texts)
             known = self.reference.encode(texts, num_threads=THREADS)
-            mended = 0
-            for k, x in enumerate(known):
-                if found[k].tolist() != x:
-                    found[k], mended = np.array(x, np.int32), mended + 1
+            differing = sum(a.tolist() != b for a, b in zip(found, known, strict=True))
             exact = np.array([self.decode(x.tolist()) == t for x, t in zip(found, texts, strict=True)], bool)
-            return np.concatenate([*found, np.zeros(0, np.int32)]), np.array([len(x) for x in found], np.int64), exact, mended
+            return np.concatenate([*found, np.zeros(0, np.int32)]), np.array([len(x) for x in found], np.int64), exact, differing
         # a space before every text that isn't empty, then cuts before runs of spaces
         some = np.flatnonzero(np.diff(offs) > 0)
         data = np.insert(data, offs[some], np.uint8(32))
@@ -245,7 +242,7 @@ class Codec:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
         h, first, at = np.unique(vectext.hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        mended = self._learn(h, data, starts[first], ends[first])
+        differing = self._learn(h, data, starts[first], ends[first])
         keys, begin, sizes, good, flat = self.known
         at = np.searchsorted(keys, h)[at]
         n = sizes[at]
@@ -253,7 +250,7 @@ class Codec:
         row_of = np.searchsorted(offs, starts, "right") - 1
         counts = np.bincount(row_of, weights=n, minlength=rows).astype(np.int64)
         exact = np.bincount(row_of, weights=~good[at], minlength=rows) == 0
-        return ids, counts, exact, mended
+        return ids, counts, exact, differing
 
 
 @functools.lru_cache(maxsize=2)
@@ -262,11 +259,11 @@ def _codec(raw: bytes) -> Codec:
 
 
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_pieces, pieces, round_trip, mended): piece ids of every whole text.
+    """(id, n_pieces, pieces, round_trip, differing): piece ids of every whole text.
 
     model: path of the SentencePiece model on the driver; its bytes, half a megabyte for
-    32,000 pieces, are broadcast. round_trip: the pieces decode to the text; mended: words of
-    the row's batch in which the reference library's pieces were taken.
+    32,000 pieces, are broadcast. round_trip: the pieces decode to the text; differing:
+    words of the row's batch whose pieces are not those of the reference library.
     """
     with open(model or default_model(), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -275,18 +272,18 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", id_col
         codec = _codec(shared.value)
         for batch in batches:
             for part in vectext.slices(batch, most=SLICE):
-                ids, counts, exact, mended = codec.encode_column(part.column(1))
+                ids, counts, exact, differing = codec.encode_column(part.column(1))
                 null = part.column(1).is_null()
                 offs = np.zeros(len(counts) + 1, np.int32)
                 np.cumsum(counts, out=offs[1:])
                 column = pa.ListArray.from_arrays(pa.array(offs), pa.array(ids), mask=null)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts), column, pa.array(exact), pa.array(np.full(len(counts), mended, np.int64))],
-                    names=[id_col, "n_pieces", "pieces", "round_trip", "mended"],
+                    [part.column(0), pa.array(counts), column, pa.array(exact), pa.array(np.full(len(counts), differing, np.int64))],
+                    names=[id_col, "n_pieces", "pieces", "round_trip", "differing"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).alias("text")).mapInArrow(run, f"{id_col} {kind}, n_pieces long, pieces array<int>, round_trip boolean, mended long")
+    return docs.select(id_col, F.col(text).alias("text")).mapInArrow(run, f"{id_col} {kind}, n_pieces long, pieces array<int>, round_trip boolean, differing long")
 
 
 def decode(encoded: DataFrame, model: str | None = None, pieces: str = "pieces", id_col: str = "doc_id") -> DataFrame:
