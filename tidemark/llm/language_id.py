@@ -83,10 +83,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", smoothing: flo
         docs: dict[str, int] = {}
         for batch in batches:
             for part in vectext.slices(batch):
-                langs = part.column(1).to_pylist()
-                for code in set(langs):
-                    rows = pa.array([x == code for x in langs])
-                    mine = part.column(0).filter(rows)
+                for code in pc.unique(part.column(1)).to_pylist():
+                    mine = part.column(0).filter(pc.equal(part.column(1), code))
                     have = seen.setdefault(code, np.zeros(1 << BITS, np.int64))
                     docs[code] = docs.get(code, 0) + len(mine)
                     for b in _grams(mine)[0]:
@@ -137,9 +135,9 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", id_col: str
                             total[:, k] += vectext.sums(m["log"][k][b], n)
                     best = total.argmax(1)
                     top = 1 / np.exp(np.clip(total - total.max(1, keepdims=True), -700, 0)).sum(1)
-                codes = [names[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
+                codes = pc.if_else(pa.array(letters), pa.array(names, pa.string()).take(pa.array(best)), "und")
                 top = np.where(letters, top, 1.0 if m else 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.string()), pa.array(np.round(top, 9))], names=[id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), codes, pa.array(np.round(top, 9))], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text).alias("text")).mapInArrow(score, f"{id_col} {kind}, lang_pred string, score double")
