@@ -22,6 +22,7 @@ CAPTION_WORDS = (
     "gerado", "gerada", "aplicado", "aplicada", "consumido", "consumida", "utilizado", "utilizada", "proveniente", "obtido", "obtida",
     "oriundo", "oriunda", "decorrente", "atividade", "operacao", "pela", "pelo", "na", "no", "exercicio", "periodo", "ano", "total", "geral", "valor",
 )
+#: Beginnings of labels that are details, not totals.
 DETAIL = r"(?i)^\s*[(\[]?\s*[-+]|^\s*outr[ao]s?\b|^\s*variac|^\s*\(-\)"
 #: Endings of plurals: the ending, what is cut off, what is put on, and the least length of the word.
 PLURALS = (("oes", 3, "ao", 4), ("aes", 3, "ao", 4), ("ais", 3, "al", 4), ("eis", 3, "el", 4), ("ois", 3, "ol", 4), ("res", 2, "", 6), ("s", 1, "", 4))
@@ -129,10 +130,17 @@ def is_caption(label: Column, t: Column, phrase: str, extra: int) -> Column:
 
 
 def classify(section: Column, label: Column, statement: Statement) -> Column:
-    """Struct of section and anchor of a line; at most one of them is set."""
+    """Struct of section and anchor of a line; at most one of them is set.
+
+    The tokens are made once and bound, so that the expression doesn't repeat them.
+    """
     label = F.coalesce(label, F.lit(""))
     section = F.coalesce(section, F.lit(""))
-    own, theirs, both = tokens(label), tokens(section), tokens(F.concat_ws(" ", section, label))
+    sets = F.struct(tokens(label).alias("own"), tokens(section).alias("theirs"), tokens(F.concat_ws(" ", section, label)).alias("both"))
+    return F.transform(F.array(sets), lambda t: _classified(label, t["own"], t["theirs"], t["both"], statement))[0]
+
+
+def _classified(label: Column, own: Column, theirs: Column, both: Column, statement: Statement) -> Column:
     anchor = F.lit(None).cast("string")
     for key, captions, extra in reversed(statement.anchors):
         hit = F.lit(False)
@@ -142,8 +150,8 @@ def classify(section: Column, label: Column, statement: Statement) -> Column:
     found = F.lit(None).cast("string")
     for key, phrases in reversed(statement.phrases):
         found = F.when(has_any(both, phrases), F.lit(key)).otherwise(found)
-    # longer declarations are tried before the shorter ones they contain
-    for phrase, key in sorted(statement.declared, key=lambda d: len(d[0])):
+    # longer declarations are tried before the shorter ones they contain, of equal ones the first
+    for phrase, key in reversed(sorted(statement.declared, key=lambda d: -len(d[0]))):
         found = F.when(has_phrase(theirs, phrase), F.lit(key)).otherwise(found)
     redundant = F.lit(False)
     for phrases in statement.redundant:

@@ -12,10 +12,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     """One row a key, the first in the given order, which should be total.
 
     The row is the least of an ordered struct, so Spark combines before it shuffles and a
-    hot key costs a row a task. The order may be ascending only (negate numbers to turn it).
+    hot key costs a row a task. The order may be ascending only (negate numbers to turn it);
+    nulls come last in each of its columns.
     """
     rest = [c for c in df.columns if c not in keys]
-    best = F.min(F.struct(*(o.alias(f"_o{k}") for k, o in enumerate(order)), F.struct(*rest).alias("_row"))).alias("_best")
+    ordered = [c for k, o in enumerate(order) for c in (o.isNull().alias(f"_n{k}"), o.alias(f"_o{k}"))]
+    best = F.min(F.struct(*ordered, F.struct(*rest).alias("_row"))).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, *(F.col(f"_best._row.{c}").alias(c) for c in rest))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import locale_number
@@ -11,17 +11,20 @@ from ..functions.text import locale_number
 def read_separated(spark: SparkSession, path: str) -> DataFrame:
     """A table with `;` or `,`, whichever its first line has more of; quotes mean nothing.
 
-    Cells are trimmed, blank lines fall away, empty headings become col0, col1, ...
+    Cells are trimmed, blank lines fall away, empty headings become col0, col1, ... Only the
+    first line of the first file (by path) is the heading; lines that repeat it are rows.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    head = lines.first()
+    text = spark.read.text(path)
+    lines = text.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")).where(F.trim("value") != "")
+    head = lines.agg(F.min(F.struct("_f", "_b", "_i", "value")).alias("h")).first()["h"]
     if head is None:
         return spark.createDataFrame([], "col0 string")
     first = head["value"]
     sep = ";" if first.count(";") > first.count(",") else ","
     names = [c.strip() or f"col{i}" for i, c in enumerate(first.split(sep))]
     cells = F.split(F.regexp_replace("value", r"\r$", ""), F.lit(f"[{sep}]"), -1)
-    return lines.where(F.col("value") != first).select(*(F.trim(F.coalesce(F.get(cells, F.lit(i)), F.lit(""))).alias(c) for i, c in enumerate(names)))
+    heading = (F.col("_f") == head["_f"]) & (F.col("_b") == head["_b"]) & (F.col("_i") == head["_i"]) & (F.col("value") == first)
+    return lines.where(~heading).select(*(F.trim(F.coalesce(F.get(cells, F.lit(i)), F.lit(""))).alias(c) for i, c in enumerate(names)))
 
 
 def rows_as_text(df: DataFrame, keys: list[str], order: str, rows: int = 2000, columns: int = 60) -> DataFrame:
@@ -31,11 +34,19 @@ def rows_as_text(df: DataFrame, keys: list[str], order: str, rows: int = 2000, c
     """
     cells = [c for c in df.columns if c not in keys][:columns]
     line = F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells))
-    all_rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
-    out = df.groupBy(*keys).agg(F.count("*").alias("_n"), all_rows.alias("_r"))
-    body = F.array_join(F.transform(F.slice("_r", 1, rows), lambda r: r["l"]), "\n")
+    # the first rows of each salted part, then of the group: no task gets a whole group
+    numbered = df.select(*keys, F.col(order).alias("_o"), line.alias("_l"), F.pmod(F.xxhash64(F.col(order)), F.lit(64)).alias("_salt"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_o", "_l"))
+    few = numbered.withColumn("_r", rank(*keys, "_salt")).where(F.col("_r") <= rows)
+    few = few.withColumn("_r", rank(*keys)).where(F.col("_r") <= rows)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_l"))), lambda r: r["_l"]), "\n")
+    counted = df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = few.groupBy(*keys).agg(body.alias("_body")).join(counted, same)
     note = F.when(F.col("_n") > rows, F.format_string("\n... (+%d)", F.col("_n") - rows)).otherwise("")
-    return out.select(*keys, F.concat(F.lit(" | ".join(cells) + "\n"), body, note).alias("text"))
+    return out.select(*keys, F.concat(F.lit(" | ".join(cells) + "\n"), "_body", note).alias("text"))
 
 
 def json_field(c: Column, name: str, kind: str) -> Column:
