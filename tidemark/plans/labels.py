@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import period, roles, statements, text, units
+from ..functions import files, period, roles, statements, text, units
 from ..operators.pick import first_per_key
 from ..sources import readers
 from .registry import query, read
@@ -230,3 +230,39 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = lines.select("k", "label", statements.classify(F.col("declared"), F.col("label"), statements.INCOME).alias("c")).select("k", "label", "c.section", "c.anchor")
     parts = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_LINES)).cast("int").alias("k"))
     return parts.join(F.broadcast(known), "k").select("p_partkey", "label", "section", "anchor")
+
+
+_FILES = [("13_Balancete_Analítico", "BALANCETE"), ("DRE", "DRE"), ("Faturamento", "FATURAMENTO_24M"), ("Balanço Patrimonial", "BALANCO"), ("qualquer coisa", "")]
+
+
+@query(f"""
+with n as (select o_orderkey, {_sql_choose([k for _, k in _FILES], 'o_orderkey')} as kind, year(o_orderdate) + 30 as y, right(cast(year(o_orderdate) + 30 as varchar), 2) as yy, (o_orderkey // 5) % 7 as k, quarter(o_orderdate) as q, (o_orderkey // 35) % 2 = 0 as signed from orders),
+p as (select *, case k when 0 then '12M' || yy when 1 then 'L24M' when 2 then q || 'T' || yy when 3 then cast(y as varchar) when 4 then yy || ',' || right(cast(y + 1 as varchar), 2) || ',' || right(cast(y + 2 as varchar), 2)
+  when 5 then 'L36M' end as ref from n)
+select o_orderkey, nullif(kind, '') as type, ref as period, case when signed then true end as signed,
+  round((case when kind <> '' then 0.6 else 0 end) + (case when ref is null then 0 when k = 3 then 0.05 else 0.3 end) + (case when signed then 0.1 else 0 end), 2) as confidence,
+  kind = '' or round(0.6 + (case when ref is null then 0 when k = 3 then 0.05 else 0.3 end) + (case when signed then 0.1 else 0 end), 2) < 0.7 as ask from p""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names in seven notations say of a file."""
+    d, k = F.col("o_orderdate"), F.floor(F.col("o_orderkey") / 5) % 7
+    y = F.year(d) + 30
+    y2 = F.right(y.cast("string"), F.lit(2))
+    notations = [F.concat(F.lit("12M"), y2), F.lit("L24M"), F.concat(F.quarter(d).cast("string"), F.lit("T"), y2), y.cast("string"), F.concat(y.cast("string"), F.lit(" a "), (y + 2).cast("string")), F.lit("36 meses"), F.lit("")]
+    rows = read(spark, sf_dir, "orders").withColumn("word", _choose([w for w, _ in _FILES], "o_orderkey"))
+    signed = F.when(F.floor(F.col("o_orderkey") / 35) % 2 == 0, F.lit("_assinado")).otherwise("")
+    name = F.concat(F.col("word"), F.lit("_"), F.element_at(F.array(*notations), (k + 1).cast("int")), signed, F.lit(".pdf"))
+    c = files.classify_name(name).alias("c")
+    return rows.select("o_orderkey", c).select("o_orderkey", "c.type", F.col("c.period.ref").alias("period"), "c.signed", "c.confidence", "c.ask")
+
+
+@query("""
+with s as (select o_orderkey, case when o_orderkey % 3 > 0 then 'A' || o_orderkey % 4 end as a, case when o_orderkey % 4 > 0 then 'B' || o_orderkey % 5 end as b, (o_orderkey % 7) / 10.0 as ca, (o_orderkey % 5) / 10.0 as cb, case when o_orderkey % 2 = 0 then 'x' end as pa, case when o_orderkey % 5 = 0 then 'y' end as pb from orders)
+select o_orderkey, case when a is not null and (b is null or cb < ca) then a else b end as type, coalesce(pb, pa) as period, greatest(ca, cb) as confidence, case when a is not null and (b is null or cb < ca) then 'name' else 'content' end as origin from s""")
+def classifications_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    some = lambda when, letter, n: F.when(when, F.concat(F.lit(letter), (k % n).cast("string")))
+    side = lambda kind, period, sure: F.struct(kind.alias("type"), period.alias("period"), F.lit(None).cast("boolean").alias("signed"), F.lit(None).cast("string").alias("entity"), sure.alias("confidence"))
+    name = side(some(k % 3 > 0, "A", 4), F.when(k % 2 == 0, "x"), k % 7 / 10.0)
+    content = side(some(k % 4 > 0, "B", 5), F.when(k % 5 == 0, "y"), k % 5 / 10.0)
+    m = files.merge_classifications(name, content).alias("m")
+    return read(spark, sf_dir, "orders").select("o_orderkey", m).select("o_orderkey", "m.type", "m.period", "m.confidence", "m.origin")
