@@ -127,3 +127,114 @@ def test_language_edges(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
     unlabelled = language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
+
+
+def test_toxicity_against_plain_counts(spark):
+    """Ratios of all texts from Counters, and bigram probabilities of each class that sum up to 1."""
+    import math
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    common, bad = [f"w{k}" for k in range(40)], ["vile", "awful", "nasty"]
+    rows = []
+    for i in range(240):
+        toxic = int(i % 3 == 0)
+        text = [*rng.choice(common, 15), *(rng.choice(bad, 2) if toxic else [])]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), toxic))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"))["model"].value
+    later = {r["doc_id"] for r in data.where(F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(3)) == 0).collect()}
+
+    pairs = [Counter(), Counter()]
+    for i, text, toxic in rows:
+        if i not in later:
+            words = text.split()
+            pairs[1 - toxic].update(zip(["<s>", *words], words, strict=False))
+    seen = sorted(set(pairs[0]) | set(pairs[1]))
+    follow = [Counter(b for _, b in p) for p in pairs]
+    words = sorted({b for _, b in seen})
+    total = [sum(f.values()) for f in follow]
+    prior = [t / sum(total) for t in total]
+
+    def off(counts):
+        ones, twos = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+        return min(1.0, max(0.1, ones / max(1, ones + 2 * twos)))
+
+    def share(n, d, part):
+        rise = lambda a, k: math.lgamma(a + k) - math.lgamma(a)
+        free = sum(rise(0.5, k) for k in n) - rise(1.0, sum(n))
+        firm = sum(rise(toxicity.FIRM * p, k) for k, p in zip(n, part, strict=True)) - rise(toxicity.FIRM, sum(n))
+        o = 1 / (1 + math.exp(-(math.log(toxicity.DIFFER) + free - firm)))
+        taken = sum(min(k, d) for k in n)
+        return [o * (max(k - d, 0) + (1 + taken) * p) / (sum(n) + 1) + (1 - o) * p for k, p in zip(n, part, strict=True)]
+
+    e = off([follow[0][w] + follow[1][w] for w in words])
+    d = off([pairs[0][p] + pairs[1][p] for p in seen])
+    unknown = e * len(words) / sum(total) / (len(words) + 1)
+    q = {w: max(follow[0][w] + follow[1][w] - e, 0) / sum(total) + unknown for w in words}
+    g = {w: [s / p for s, p in zip(share([follow[0][w], follow[1][w]], e, prior), prior, strict=True)] for w in words}
+    gg = {}
+    for h, w in seen:
+        part = [p * x for p, x in zip(prior, g[w], strict=True)]
+        part = [x / sum(part) for x in part]
+        gg[h, w] = [s / p for s, p in zip(share([pairs[0][h, w], pairs[1][h, w]], d, part), prior, strict=True)]
+    after = defaultdict(list)
+    for h, w in seen:
+        after[h].append(w)
+    n = {h: sum(pairs[0][h, w] + pairs[1][h, w] for w in ws) for h, ws in after.items()}
+    z = []
+    for c in (0, 1):
+        whole = 0.0
+        for h, ws in after.items():
+            back = d * len(ws) / n[h]
+            mass = sum((pairs[0][h, w] + pairs[1][h, w] - d) / n[h] * gg[h, w][c] for w in ws)
+            mass += back * (unknown + sum(q[w] * (gg[h, w][c] if (h, w) in gg else g[w][c]) for w in words))
+            whole += n[h] / sum(n.values()) * mass
+        z.append(whole)
+    assert np.allclose(z, model.total, rtol=1e-9)
+    # so that p(h) p(w | h) g / Z sums up to 1 over all bigrams of a class
+    got = model.ratios(pa.array([t for _, t, _ in rows] + ["vile unheard", ""]))
+    for text, mine in zip([t for _, t, _ in rows] + ["vile unheard", ""], got, strict=True):
+        tokens = text.split()
+        wanted = sum((lambda x: math.log(x[0] / x[1]))(gg.get(p) or g.get(p[1]) or [1, 1]) - math.log(z[0] / z[1]) for p in zip(["<s>", *tokens], tokens, strict=False))
+        assert abs(wanted / max(1, len(tokens)) - mine) < 1e-5
+
+
+def test_language_against_plain_counts(spark, sf):
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in read(spark, sf, "documents").collect()]
+    rows += [(100_000, "abc", "xx"), (100_001, "abc", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = lambda t: [b for x in language_id._grams(pa.array([t]))[0] for b in x.tolist()]
+    seen, many = {}, Counter()
+    for i, text, lang in rows:
+        if text is not None and lang is not None and not _held(i):
+            seen.setdefault(lang, Counter()).update(grams(text))
+            many[lang] += 1
+    size, smooth = 1 << language_id.BITS, 0.1
+    for r in language_id.identify(docs).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        if not text or r["lang_pred"] == "und":
+            continue
+        mine = grams(text)
+        log = {c: math.log(many[c] / sum(many.values())) + sum(math.log((n[b] + smooth) / (n.total() + smooth * size)) for b in mine) for c, n in seen.items()}
+        best = min(log, key=lambda c: (-log[c], c))
+        assert r["lang_pred"] == best
+        assert abs(r["score"] - 1 / sum(math.exp(max(-700, x - log[best])) for x in log.values())) < 1e-2
+    # equally likely languages: the first by code point
+    same = spark.createDataFrame([(k, "abab", "y" if k % 2 else "x") for k in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(same)
+    assert {r["lang_pred"] for r in language_id.predict(same, model).collect()} == {"x"}
+
+
+def _held(doc_id):
+    from tests.llm.helpers import remainder
+
+    return remainder(doc_id, 4) == 2

@@ -68,3 +68,33 @@ def test_edges(spark):
     assert out.columns == docs.columns
     assert sum(len(words(r["text"])) for r in out.collect()) == sum(r["taken"] for r in rows)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_shards(spark, sf):
+    """Draws go to the shards that the tree gives them, and the tree's shares are even in the mean."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wanted = defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        wanted[r["doc_id"]] += list(r["shards"])
+    got = defaultdict(list)
+    for r in mixing.materialise(docs, shard="_to").select("doc_id", "_to").collect():
+        got[r["doc_id"]].append(r["_to"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in wanted.items() if v}
+    keys = spark.range(2000).select(mixing._shares(F.lit(24).cast("long"), F.lit(64).cast("long"), F.xxhash64("id"), 8).alias("s"))
+    shares = [r["s"] for r in keys.collect()]
+    assert all(sum(s) == 24 and max(s) <= 8 for s in shares)
+    means = [sum(s[k] for s in shares) / len(shares) for k in range(8)]
+    # of a hypergeometric draw of 24 of 64 into 8: mean 3, variance 24/64 * 40/63 * 8
+    assert all(abs(m - 3) < 0.15 for m in means)
+    variance = sum((s[0] - 3) ** 2 for s in shares) / len(shares)
+    assert abs(variance - 8 * (24 / 64) * (40 / 64) * (56 / 63)) < 0.25
+
+
+def test_rows_alike_share_the_cut(spark):
+    rows = [(1, "one two three four", "a")] * 9 + [(None, f"word {k}", "b") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for s in ("a", "b"):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= (5 if s == "a" else 1)

@@ -68,3 +68,10 @@ def test_edges(spark):
     docs = edge_docs(spark)
     assert pii.report(docs).count() == docs.count() and pii.report(docs.limit(0)).count() == 0
     assert pii.mask(docs).columns == docs.columns
+
+
+def test_context_reaches_over_other_matches(spark):
+    text = "credit 10.0.0.1 and 4111 1111 1111 1111, 5500 0000 0000 0004"
+    got = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    scores = [s.rsplit(":", 1)[1] for s in got["scored_spans"].split(",") if s.startswith("card")]
+    assert scores == ["0.95", "0.95"]

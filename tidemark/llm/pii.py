@@ -26,8 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters looked at on each side of a span for context words.
-WINDOW = 40
+#: Characters looked at on each side of a span for context words, and the most of a word that reaches into them.
+WINDOW, WORD = 40, 20
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -117,8 +117,11 @@ def spans(text: Column, kind: str) -> Column:
         start = a["pos"] + F.length(before)
         end = start + F.length(hit)
         ok = VALID[kind](hit)
-        past = F.right(F.concat(a["past"], before), F.lit(WINDOW))
-        near = F.lower(F.concat(past, F.lit(" "), F.substring(text, (end + 1).cast("int"), F.lit(WINDOW))))
+        past = F.right(F.concat(a["past"], before), F.lit(WINDOW + WORD))
+        ahead = F.substring(text, (end + 1).cast("int"), F.lit(WINDOW + WORD))
+        # words that the window's edge would cut are looked at whole
+        sides = F.regexp_extract(past, rf"(?s)\S{{0,{WORD}}}.{{0,{WINDOW}}}$", 0), F.regexp_extract(ahead, rf"(?s)^.{{0,{WINDOW}}}\S{{0,{WORD}}}", 0)
+        near = F.lower(F.concat_ws(" ", *sides))
         score = F.lit(CONFIDENCE[kind]) + F.when(near.rlike(CONTEXT[kind]), 0.15).otherwise(0.0) - F.when(near.rlike(AGAINST), 0.1).otherwise(0.0)
         span = F.concat_ws(":", F.lit(kind), start.cast("string"), end.cast("string"))
         add = lambda so_far, what: F.when(ok, F.concat(so_far, F.when(so_far == "", "").otherwise(","), what)).otherwise(so_far)
@@ -127,7 +130,7 @@ def spans(text: Column, kind: str) -> Column:
             (a["n"] + ok.cast("long")).alias("n"),
             add(a["spans"], span).alias("spans"),
             add(a["scored"], F.concat_ws(":", span, F.format_number(score, 2))).alias("scored"),
-            F.right(F.concat(past, hit), F.lit(WINDOW)).alias("past"),
+            F.right(F.concat(past, hit), F.lit(WINDOW + WORD)).alias("past"),
         )
 
     return F.when(_MAY[kind](text), F.aggregate(_pairs(text, kind), empty, step)).otherwise(empty)
