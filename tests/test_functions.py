@@ -117,3 +117,9 @@ def test_statement_families(spark):
     rows = [("Saldo em 31/12/2024", "dmpl"), ("Saldo final de caixa em 31/12/2024", "fluxo_caixa"), ("Lucro bruto", "dre"), ("qualquer", None)]
     assert all(x == w for x, w in values(spark, rows, "l string, w string", statements.family(F.lit(None).cast("string"), F.col("l")), "w"))
     assert values(spark, [("Notas explicativas",), ("Nota 12",), ("Balanço",)], "s string", statements.is_note(F.col("s"))) == [(True,), (True,), (False,)]
+
+
+def test_declared_sections_of_one_length(spark):
+    rows = [("Deduções da receita e despesas comerciais", "Linha"), ("Despesas comerciais", "Linha")]
+    got = spark.createDataFrame(rows, "s string, l string").select(statements.classify(F.col("s"), F.col("l"), statements.INCOME)["section"].alias("c")).collect()
+    assert [r["c"] for r in got] == ["receita_bruta", "despesas_operacionais"]

@@ -9,6 +9,7 @@ from tidemark.sources import readers
 from tidemark.streaming.upserts import upsert_stream
 
 
+
 def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
@@ -85,3 +86,20 @@ def test_stream_upserts(spark, tmp_path):
         upsert_stream(stream, str(tmp_path / "out"), ["k"], ["v"], str(tmp_path / "ck")).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "out" / f"v{i}")).count() == 2 + i
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_heading_lines_that_repeat_are_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b\n1;2\na;b\n3;4\n\n")
+    got = [tuple(r) for r in readers.read_separated(spark, str(tmp_path / "a.csv")).collect()]
+    assert sorted(got) == [("1", "2"), ("3", "4"), ("a", "b")]
+
+
+def test_long_groups_as_text_are_cut_with_a_note(spark):
+    df = spark.range(500).selectExpr("id % 2 as k", "id as n", "concat('v', id) as v")
+    got = {r["k"]: r["text"] for r in readers.rows_as_text(df, ["k"], "n", rows=3).collect()}
+    assert got[0] == "n | v\n0 | v0\n2 | v2\n4 | v4\n... (+247)" and got[1].endswith("5 | v5\n... (+247)")
+
+
+def test_first_per_key_puts_nulls_last(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, 5, "b"), (1, 7, "c"), (2, None, "d")], "k int, o int, v string")
+    assert {r["k"]: r["v"] for r in pick.first_per_key(df, ["k"], [F.col("o"), F.col("v")]).collect()} == {1: "b", 2: "d"}
