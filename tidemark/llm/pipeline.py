@@ -34,13 +34,17 @@ from . import jaccard_join, mixing, pieces, pii
 from . import quality as quality_classifier
 from .common import Scratch, table
 
-#: Tables of a stage that its result still reads; the next stage begins after that is written.
+#: Tables of a stage that its result still reads, until that is written.
 _open: list[Scratch] = []
 
 
-def _release() -> None:
-    while _open:
-        _open.pop().clear()
+def _release(docs: DataFrame) -> None:
+    """Clears the tables of earlier stages, unless docs has not been written and still reads them."""
+    files = docs.inputFiles() if _open else []
+    for scratch in list(_open):
+        if not any(scratch.root.rpartition("/")[2] in f for f in files):
+            scratch.clear()
+            _open.remove(scratch)
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -49,28 +53,28 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release()
+    _release(docs)
     return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release()
+    _release(docs)
     _open.append(Scratch(spark, "near_duplicates"))
     return jaccard_join.deduplicate(docs, scratch=_open[-1])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release()
+    _release(docs)
     return _with_length(pii.mask(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release()
+    _release(docs)
     return _with_length(mixing.materialise(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release()
+    _release(docs)
     return pieces.encode(docs).select("doc_id", "n_pieces", "pieces", "round_trip")
 
 
