@@ -47,3 +47,15 @@ def test_near_duplicates(spark):
     docs = spark.createDataFrame([(1, base), (2, base), (3, base + " more"), (4, base.replace("word60 ", "other ")), (5, " ".join(f"x{i}" for i in range(120))), (6, None), (7, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7}
+
+
+def test_banded_join_on_the_whole_table_and_edges(spark, sf):
+    from tests.llm.helpers import edge_docs
+    from tests.llm.test_jaccard_join import brute, found
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert found(minhash.near_duplicates(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    edges = edge_docs(spark)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(edges).collect()}
+    assert (got[1], got[2], got[6], got[3], got[8], got[None]) == (1, 1, 5, 3, 8, None)
+    assert minhash.near_duplicates(edges.limit(0)).count() == 0
