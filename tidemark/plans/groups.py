@@ -141,12 +141,13 @@ def cost_of_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARTS = [*consolidate.ASSETS, *consolidate.LIABILITIES, consolidate.EQUITY]
-_BOOKS = f"b as (select l_suppkey, {_sql_choose(_PARTS, 'l_linenumber')} as section, cast(floor(l_extendedprice) as bigint) as v from lineitem)"
+_BOOKS = f"b as (select l_suppkey, {_sql_choose(_PARTS, '(l_linenumber + l_suppkey)')} as section, cast(floor(l_extendedprice) as bigint) as v from lineitem)"
 _TOTALS = """e as (select l_suppkey, coalesce(sum(v) filter (where section in ('AC', 'ANC')), 0)::bigint as assets, coalesce(sum(v) filter (where section in ('PC', 'PNC')), 0)::bigint as liabilities, coalesce(sum(v) filter (where section = 'PL'), 0)::bigint as other from b group by 1)"""
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").select("l_suppkey", _choose(_PARTS, "l_linenumber").alias("section"), F.floor("l_extendedprice").alias("v"))
+    rows = read(spark, sf_dir, "lineitem").withColumn("_at", F.col("l_linenumber") + F.col("l_suppkey"))
+    return rows.select("l_suppkey", _choose(_PARTS, "_at").alias("section"), F.floor("l_extendedprice").alias("v"))
 
 
 @query(f"""with {_BOOKS}, {_TOTALS} select l_suppkey, assets, liabilities, assets - liabilities as equity, assets - liabilities - other as plug, case when assets - liabilities - other < 0 then 'accumulated_loss' else 'accumulated_profit' end as plug_kind from e""")
