@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, jaccard_join, language_id, lm_trie, minhash, mixing, multi_index, pieces, pii, quality, toxicity
+from . import ball_tree, divergence, jaccard_join, language_id, lm_trie, minhash, mixing, multi_index, pieces, pii, quality, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints_with_next(table(spark, sf_dir, "documents"))
 
@@ -60,8 +68,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_lm_trie, op4_mixing, op5_toxicity, op6_multi_index, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id, op11_ball_tree, near_copies_by_bands)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_lm_trie, op4_mixing, op5_toxicity, op6_multi_index, op7_pii, op8_jaccard_join, op9_sentencepiece, op10_language_id, op11_ball_tree, op12_warc, op13_divergence, near_copies_by_bands)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_ball_tree": ball_tree.sql()}
+    return {"op11_ball_tree": ball_tree.sql(), "op12_warc": warc.SQL, "op13_divergence": divergence.sql()}
