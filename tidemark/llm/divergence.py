@@ -26,18 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectext
 from .common import Scratch
 
 #: Documents of a lang that hold a kept term, at least; ranks of part term; what is added to each count; scale of p.
 LEAST, TOP, ADDED, SCALE = 30, 50, 5, 1_000_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text that a task counts at once; rows of counts above which it adds them up, and sends them where that leaves more than half.
-PIECE, HELD = 8 << 20, 400_000
+PIECE, HELD = 8 << 20, 1_000_000
 #: Kept counts of a shard, in the mean; there are at most as many shards as shuffles have partitions.
 SHARD = 10_000
 #: Memory of DuckDB in a task; it has no folder to spill to.
@@ -47,11 +49,15 @@ COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa
 KEPT = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("first", pa.int32())])
 FOUND = pa.schema([("part", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64()), ("shared", pa.int64()), ("n_shared", pa.int64())])
 
-_LOWER = "translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_COUNT = f"""
-with words as (select lang, source, row, unnest(regexp_extract_all(text, '{TERM}')) as w from docs),
-held as (select lang, source, row, {_LOWER} as term, count(*) as n from words group by all)
-select lang, source, term, sum(n)::bigint as n, count(*) as docs from held group by lang, source, term"""
+#: Bytes of terms with A-Z in lower case, all others as spaces; bytes of other alphabets belong to terms.
+_PLAIN = np.full(256, 32, np.uint8)
+_PLAIN[97:123] = _PLAIN[65:91] = np.arange(97, 123)
+_PLAIN[128:] = np.arange(128, 256)
+_COUNT = """
+with words as (select g, row, unnest(string_split(text, ' ')) as term from docs join groups using (lang, source)),
+held as (select row, any_value(g) as g, term, count(*) as n from words where term <> '' group by row, term),
+terms as (select g, term, sum(n)::bigint as n, count(*) as docs from held group by g, term)
+select lang, source, term, n, docs from terms join groups using (g)"""
 _ADD = "select lang, source, term, sum(n)::bigint as n, sum(docs)::bigint as docs from counts group by all"
 _P = f"(1 + {SCALE}::hugeint * (n + {ADDED}) // (total + {ADDED}::hugeint * kept))::bigint"
 
@@ -61,7 +67,7 @@ def _duck() -> duckdb.DuckDBPyConnection:
 
 
 def _batches(con: duckdb.DuckDBPyConnection, sql: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    yield from con.execute(sql).to_arrow_table().cast(schema).to_batches(max_chunksize=50_000)
+    yield from con.sql(sql).to_arrow_table().cast(schema).to_batches(max_chunksize=50_000)
 
 
 def _types(schema: pa.Schema) -> str:
@@ -89,6 +95,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(parts)
 
 
+def _plain(column: pa.ChunkedArray) -> pa.Array:
+    """Texts as their terms, parted by spaces."""
+    data, offs = vectext.utf8(column)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offs), pa.py_buffer(_PLAIN[data]))
+
+
 class _Counts:
     """Counts in a DuckDB table that is added up when it has grown."""
 
@@ -109,8 +121,8 @@ class _Counts:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = _Counts()
     for docs in _pieces(batches, PIECE):
-        docs = docs.append_column("row", pa.array(range(len(docs)), pa.int64()))
-        counts.con.register("docs", docs)
+        counts.con.register("docs", pa.table({"lang": docs["lang"], "source": docs["source"], "text": _plain(docs["text"]), "row": np.arange(len(docs))}))
+        counts.con.execute("create or replace temp table groups as select lang, source, row_number() over () as g from (select distinct lang, source from docs)")
         counts.insert(_COUNT)
         counts.con.unregister("docs")
         if counts.rows > HELD // 2:
@@ -211,9 +223,11 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text
     rest = (F.col("kept") - F.col("held_a") - F.col("held_b") + had("n_shared")) * F.abs(F.col("p0_a") - F.col("p0_b"))
     value = F.when(F.col("kept") > 0, had("value") - had("shared") + rest).otherwise(0).cast("long")
     columns = ("lang", "source", "part", "item", "value")
-    rows = both.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), value.alias("value")).unionByName(found.where("part = 'term'").select(*columns))
-    place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return rows.withColumn("rank", place).where((F.col("part") == "pair") | (F.col("rank") <= top)).select(*columns, "rank")
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank")
+    ranked = lambda part, rows: rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", rank)
+    # the limit on ranks stands alone above its window, so that tasks drop what can't be among the first
+    terms = ranked("term", found.where("part = 'term'")).where(F.col("rank") <= top)
+    return ranked("pair", both.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), value.alias("value"))).unionByName(terms)
 
 
 def sql(least: int = LEAST, top: int = TOP) -> str:
@@ -222,7 +236,7 @@ def sql(least: int = LEAST, top: int = TOP) -> str:
     return f"""
     with docs as materialized (select row_number() over () as row, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
     words as (select row, lang, source, unnest(regexp_extract_all(text, '{TERM}')) as w from docs),
-    held as materialized (select row, lang, source, {_LOWER} as term, count(*) as n from words group by all),
+    held as materialized (select row, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term, count(*) as n from words group by all),
     known as materialized (select lang, term from held group by all having count(*) >= {least}),
     groups as materialized (select distinct lang, source from docs),
     counts as (select lang, source, term, sum(n) as n from held group by all),
