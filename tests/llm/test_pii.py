@@ -75,3 +75,30 @@ def test_context_reaches_over_other_matches(spark):
     got = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     scores = [s.rsplit(":", 1)[1] for s in got["scored_spans"].split(",") if s.startswith("card")]
     assert scores == ["0.95", "0.95"]
+
+
+def test_contexts_of_crowded_matches_are_those_of_the_text(spark):
+    rng = random.Random(11)
+    bits = ["+12 345 678 90", "a@b.c", "x@y.zz", " tel ", "call", " 10.0.0.1", "test ", "é\U0001f600", "\n", "mail ", "4111111111111111", "credit "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    got = {r["doc_id"]: r["scored_spans"] for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        for kind, start, end, score in (s.split(":") for s in got[i].split(",") if s):
+            past, ahead = text[: int(start)][-60:], text[int(end) :][:60]
+            near = " ".join((re.search(r"(?s)\S{0,20}.{0,40}$", past)[0], re.search(r"(?s)^.{0,40}\S{0,20}", ahead)[0])).lower()
+            want = pii.CONFIDENCE[kind] + (0.15 if re.search(pii.CONTEXT[kind], near) else 0) - (0.1 if re.search(pii.AGAINST, near) else 0)
+            assert abs(float(score) - want) < 0.006, (text, kind, start)
+
+
+def test_the_work_is_not_quadratic_in_the_matches(spark):
+    import time
+
+    took = {}
+    for n in (10_000, 10_000, 40_000):
+        docs = spark.createDataFrame([(1, " ".join(f"u{i}@mail.org" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        r = pii.report(docs).first()
+        took[n] = time.time() - began
+        assert r["n_email"] == n and r["scored_spans"].startswith("email:0:11:0.95,email:12:23:0.95")
+    # four times the matches would take sixteen times as long
+    assert took[40_000] < 10 * took[10_000]

@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust a score.
 
 Only SQL functions: a kind's matches come from regexp_extract_all, the text between
-them from split on the same pattern, and one fold over both gives the positions (code
-points, end exclusive). The patterns are the linear-time forms of the plain ones: a
+them from split on the same pattern. A match's context is taken from the matches and gaps
+beside it, and folds over their lengths give the positions (code points, end exclusive),
+in pieces of about the square root of the matches. The patterns are the linear-time forms of the plain ones: a
 look-behind lets a match begin only where a run of its characters begins, and
 quantifiers are possessive, so very long runs cost no backtracking.
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Characters looked at on each side of a span for context words, and the most of a word that reaches into them.
 WINDOW, WORD = 40, 20
+#: Matches beside another one that a context can reach: the shortest match of any kind has 4 characters.
+AROUND = (WINDOW + WORD) // 4
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -98,42 +101,91 @@ def _found(text: Column, kind: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _pairs(text: Column, kind: str) -> Column:
     """Structs of the text before a match, the match and the text after it."""
     hits, gaps = _found(text, kind)
-    return F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("before"), F.slice(gaps, F.lit(2), F.size(hits)).alias("after"))
+    return _bound(gaps, lambda g: F.arrays_zip(hits.alias("hit"), F.slice(g, F.lit(1), F.size(g) - 1).alias("before"), F.slice(g, F.lit(2), F.size(g) - 1).alias("after")))
 
 
-def spans(text: Column, kind: str) -> Column:
-    """Struct of n, spans (kind:start:end joined by commas) and scored (with the score).
+def _sized(x: Column) -> Column:
+    """A pair as its lengths, the match, and as much of it and its gaps as a context may hold."""
+    most = F.lit(WINDOW + WORD)
+    return F.struct(
+        F.length(x["before"]).alias("gap"), F.length(x["hit"]).alias("size"), x["hit"].alias("hit"),
+        F.right(x["before"], most).alias("before"), F.left(x["after"], most).alias("after"), F.right(x["hit"], most).alias("tail"), F.left(x["hit"], most).alias("head"),
+    )
+
+
+def _context(all_pairs: Column, x: Column, at: Column) -> Column:
+    """What stands within WINDOW characters of a match, over the matches beside it if need be."""
+    n = WINDOW + WORD
+    first = F.greatest(F.lit(0), at - AROUND)
+    behind = F.array_join(F.transform(F.slice(all_pairs, first + 1, at - first), lambda y: F.concat(y["before"], y["tail"])), "")
+    past = F.right(F.concat(behind, x["before"]), F.lit(n))
+    coming = F.array_join(F.transform(F.slice(all_pairs, at + 2, F.lit(AROUND)), lambda y: F.concat(y["head"], y["after"])), "")
+    ahead = F.left(F.concat(x["after"], coming), F.lit(n))
+    # words that the window's edge would cut are looked at whole
+    sides = F.regexp_extract(past, rf"(?s)\S{{0,{WORD}}}.{{0,{WINDOW}}}$", 0), F.regexp_extract(ahead, rf"(?s)^.{{0,{WINDOW}}}\S{{0,{WORD}}}", 0)
+    return F.lower(F.concat_ws(" ", *sides))
+
+
+def _scored(kind: str, all_pairs: Column) -> Column:
+    """Per pair: its lengths and the score of a confirmed match, null for any other."""
+
+    def score(x: Column, at: Column) -> Column:
+        rated = _bound(_context(all_pairs, x, at), lambda near: F.lit(CONFIDENCE[kind]) + F.when(near.rlike(CONTEXT[kind]), 0.15).otherwise(0.0) - F.when(near.rlike(AGAINST), 0.1).otherwise(0.0))
+        return F.struct(x["gap"].cast("long").alias("gap"), x["size"].cast("long").alias("size"), F.when(VALID[kind](x["hit"]), rated).alias("score"))
+
+    return F.transform(all_pairs, score)
+
 
-    The context of a match is what stands within WINDOW characters of it in the text; the
-    text before it is gathered from match to match, so that a context may reach over others.
+def _placed(scored: Column) -> Column:
+    """Structs of start, end and score, from the lengths.
+
+    Appending to an array copies it, so positions are gathered in pieces of about the square
+    root of their number, and the pieces are put together at the end.
     """
-    empty = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit("").alias("spans"), F.lit("").alias("scored"), F.lit("").alias("past"))
+    spot = "struct<start: bigint, end: bigint, score: double>"
 
     def step(a: Column, x: Column) -> Column:
-        hit, before = x["hit"], x["before"]
-        start = a["pos"] + F.length(before)
-        end = start + F.length(hit)
-        ok = VALID[kind](hit)
-        past = F.right(F.concat(a["past"], before), F.lit(WINDOW + WORD))
-        ahead = F.substring(text, (end + 1).cast("int"), F.lit(WINDOW + WORD))
-        # words that the window's edge would cut are looked at whole
-        sides = F.regexp_extract(past, rf"(?s)\S{{0,{WORD}}}.{{0,{WINDOW}}}$", 0), F.regexp_extract(ahead, rf"(?s)^.{{0,{WINDOW}}}\S{{0,{WORD}}}", 0)
-        near = F.lower(F.concat_ws(" ", *sides))
-        score = F.lit(CONFIDENCE[kind]) + F.when(near.rlike(CONTEXT[kind]), 0.15).otherwise(0.0) - F.when(near.rlike(AGAINST), 0.1).otherwise(0.0)
-        span = F.concat_ws(":", F.lit(kind), start.cast("string"), end.cast("string"))
-        add = lambda so_far, what: F.when(ok, F.concat(so_far, F.when(so_far == "", "").otherwise(","), what)).otherwise(so_far)
-        return F.struct(
-            end.alias("pos"),
-            (a["n"] + ok.cast("long")).alias("n"),
-            add(a["spans"], span).alias("spans"),
-            add(a["scored"], F.concat_ws(":", span, F.format_number(score, 2))).alias("scored"),
-            F.right(F.concat(past, hit), F.lit(WINDOW + WORD)).alias("past"),
-        )
-
-    return F.when(_MAY[kind](text), F.aggregate(_pairs(text, kind), empty, step)).otherwise(empty)
+        start = a["pos"] + x["gap"]
+        end = start + x["size"]
+        return F.struct(end.alias("pos"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["score"].alias("score")))).alias("out"))
+
+    def piece(a: Column, part: Column) -> Column:
+        folded = F.aggregate(part, F.struct(a["pos"].alias("pos"), F.array().cast(f"array<{spot}>").alias("out")), step)
+        return _bound(folded, lambda f: F.struct(f["pos"].alias("pos"), F.concat(a["out"], F.array(f["out"])).alias("out")))
+
+    def whole(x: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1)), lambda k: F.slice(x, k * size + 1, size))
+        start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<array<{spot}>>").alias("out"))
+        return F.flatten(F.aggregate(parts, start, piece)["out"])
+
+    return _bound(scored, whole)
+
+
+def spans(text: Column, kind: str) -> Column:
+    """Struct of n, spans (kind:start:end joined by commas) and scored (with the score).
+
+    The context of a match is what stands within WINDOW characters of it in the text; it may
+    reach over other matches. The work grows with the matches times the square root of their number.
+    """
+    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit("").alias("spans"), F.lit("").alias("scored"))
+    sized = F.transform(_pairs(text, kind), _sized)
+    placed = _placed(_bound(sized, lambda b: _scored(kind, b)))
+    name = lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string"))
+    joined = lambda kept, f: F.array_join(F.transform(kept, f), ",")
+    found = _bound(
+        F.filter(placed, lambda x: x["score"].isNotNull()),
+        lambda kept: F.struct(F.size(kept).cast("long").alias("n"), joined(kept, name).alias("spans"), joined(kept, lambda x: F.concat_ws(":", name(x), F.format_number(x["score"], 2))).alias("scored")),
+    )
+    return F.when(_MAY[kind](text), found).otherwise(empty)
 
 
 def detect(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
