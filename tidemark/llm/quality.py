@@ -40,7 +40,7 @@ from .language_id import held_out_fold
 
 #: Labelled rows a class that the classifiers are fitted on, at most.
 SAMPLE = 4000
-ROUNDS = 3
+ROUNDS = 4
 #: How sure a view is of the pseudo-labels that it hands over, and what those of a class weigh beside labelled rows.
 SURE, PSEUDO = 0.98, 0.5
 RIDGE = 3.0
