@@ -1,7 +1,10 @@
 """Every stage against brute force on what its predecessor kept."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tests.llm.helpers import Union, shingles, words
+from tests.llm.helpers import Union, edge_docs, shingles, words
 from tests.llm.test_mixing import targets
 from tidemark.llm import pii
 
@@ -54,3 +57,55 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+@pytest.fixture(scope="module")
+def labelled(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("edges"))
+
+
+def plain(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_stages_on_edges(spark, labelled):
+    """Nulls, repeated rows, empty and very long texts, clashing columns, in each stage's own input."""
+    docs = edge_docs(spark)
+    columns = docs.columns
+    spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{labelled}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+
+    # too few labels for two classes: nothing goes
+    assert plain(stage["quality"](spark, docs, labelled)) == plain(docs)
+
+    # 1 and 2 are equal, 5 and 6 nearly so; rows without id, words or text stay, so do both rows of 10
+    single = stage["near_duplicates"](spark, docs, labelled)
+    assert plain(single) == plain(docs.where("doc_id is null or doc_id not in (2, 6)")) and single.columns == columns
+
+    private = stage["personal_data"](spark, docs.withColumn("text", F.when(F.col("doc_id") == 1, "a@b.de 10.0.0.1").otherwise(F.col("text"))), labelled)
+    assert private.columns == columns
+    got = {r.doc_id: (r.text, r.n_chars) for r in private.collect()}
+    want = {r.doc_id: (r.text, None if r.text is None else len(r.text)) for r in docs.collect()} | {1: ("<EMAIL> <IP>", 12)}
+    assert got == want
+
+    mixed = stage["mixing"](spark, docs, labelled)
+    assert mixed.columns == columns
+    rows = mixed.collect()
+    assert not any(r.doc_id in (3, 4, 8) for r in rows) and all(r.n_chars == len(r.text) for r in rows)
+    known = {r.doc_id: words(r.text, False) for r in docs.collect()}
+    assert all(words(r.text, False) == known[r.doc_id][: len(words(r.text, False))] for r in rows)
+    assert plain(mixed) == plain(stage["mixing"](spark, docs, labelled))
+
+    encoded = stage["pieces"](spark, docs, labelled)
+    assert encoded.count() == docs.count() and [(r.n_pieces, r.pieces) for r in encoded.where("doc_id = 4").collect()] == [(0, None)]
+    assert len({tuple(r.pieces) for r in encoded.where("doc_id = 10").collect()}) == 1
+
+
+def test_two_results_stand_side_by_side(spark, labelled):
+    """A stage called on other rows leaves what an unwritten result still reads."""
+    docs = edge_docs(spark)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    first = stage(spark, docs, labelled)
+    second = stage(spark, docs.where("doc_id in (1, 2)"), labelled)
+    assert second.count() == 1 and dict(corpus_pipeline.STAGES)["personal_data"](spark, second, labelled).count() == 1
+    assert first.count() == docs.count() - 2

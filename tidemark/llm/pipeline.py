@@ -34,47 +34,31 @@ from . import jaccard_join, mixing, pieces, pii
 from . import quality as quality_classifier
 from .common import Scratch, table
 
-#: Tables of a stage that its result still reads, until that is written.
-_open: list[Scratch] = []
-
-
-def _release(docs: DataFrame) -> None:
-    """Clears the tables of earlier stages, unless docs has not been written and still reads them."""
-    files = docs.inputFiles() if _open else []
-    for scratch in list(_open):
-        if not any(scratch.root.rpartition("/")[2] in f for f in files):
-            scratch.clear()
-            _open.remove(scratch)
-
-
 def _with_length(docs: DataFrame) -> DataFrame:
     """n_chars as the length of the text, where the table has that column."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release(docs)
     return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release(docs)
-    _open.append(Scratch(spark, "near_duplicates"))
-    return jaccard_join.deduplicate(docs, scratch=_open[-1])
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """The result reads tables of scratch. Whoever gives it clears it once the result is written;
+    where none is given the tables are the result's own and stay until the program ends.
+    """
+    return jaccard_join.deduplicate(docs, scratch=scratch)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release(docs)
     return _with_length(pii.mask(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release(docs)
     return _with_length(mixing.materialise(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _release(docs)
     return pieces.encode(docs).select("doc_id", "n_pieces", "pieces", "round_trip")
 
 
@@ -82,11 +66,17 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every other stage is written to the shared folder and read again."""
+    """The rows of the last stage; every other stage is written to the shared folder and read again.
+
+    A stage's tables go as soon as its successor's are written; the last but one stays for the result.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        own = {"scratch": Scratch(spark, name)} if stage is near_duplicates else {}
+        docs = scratch.save(stage(spark, docs, sf_dir, **own), name)
+        for tables in own.values():
+            tables.clear()
         if k:
             scratch.drop(STAGES[k - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
