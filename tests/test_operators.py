@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import pick, project, recon, series, upsert
+from tidemark.operators import pick, project, recon, recurrence, series, upsert
 from tidemark.sources import readers
 from tidemark.streaming.upserts import upsert_stream
 
@@ -67,7 +67,7 @@ def test_schedules(spark):
     got = [r["allocated"] for r in project.with_residual(split, ["k"], "o", "w", "t").orderBy("o").collect()]
     assert got == [33.33, 33.33, 33.34]
     flows = spark.createDataFrame([("k", 1, -10.0), ("k", 2, 30.0), ("k", 3, 0.0)], "k string, y int, f double")
-    got = rows(project.cash_sweep(flows, ["k"], "y", "f", 5.0, 1.0).select("y", "draw", "debt", "cash"), "y")
+    got = rows(recurrence.cash_sweep(flows, ["k"], "y", "f", 5.0, 1.0).select("y", "draw", "debt", "cash"), "y")
     assert got == [(1, 6.0, 6.0, 1.0), (2, -6.0, 0.0, 25.0), (3, 0.0, 0.0, 25.0)]
 
 

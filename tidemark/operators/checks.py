@@ -1,10 +1,9 @@
-"""Reconciliations of extracted lines: values picked by cascades of strategies, compared with tolerances.
+"""Pickers, column resolvers and sums of extracted lines; `reconcile` puts them together.
 
 A facts table has a row a line: the keys of its document, section, label, entity_col,
-period_col, value, unit, confidence; lines without a value count for nothing. A side of a
-check is an ordered list of strategies. All strategies of a document are evaluated in one
-pass: lines are first combined by unit, then by document, so that a hot document costs a row
-a task and nothing is gathered; the first strategy that found something gives the value.
+period_col, value, unit, confidence; lines without a value count for nothing. All strategies of
+a document are evaluated in one pass: lines are first combined by unit, then by document, so
+that a hot document costs a row a task and nothing is gathered.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, units
+from ..functions import text
 from .pick import first_per_key
 
 
@@ -77,24 +76,6 @@ def picked(facts: DataFrame, keys: Sequence[str], strategies: Sequence[Strategy]
     return rows.groupBy(*keys, "unit").agg(*first).groupBy(*keys).agg(*second).select(*keys, *out)
 
 
-def side(found: DataFrame, keys: Sequence[str], name: str, cascade: Sequence[str | tuple[str, str]]) -> DataFrame:
-    """The first strategy of the cascade that found something; a pair of names adds both up.
-
-    A pair counts if both found something; a pair of sums if one of them did.
-    """
-    tries = []
-    for step in cascade:
-        if isinstance(step, str):
-            tries.append(F.col(step))
-            continue
-        a, b = F.col(step[0]), F.col(step[1])
-        both = (a.isNotNull() | b.isNotNull()) if step[0].startswith("sum") else (a.isNotNull() & b.isNotNull())
-        total = F.coalesce(a["value"], F.lit(0.0)) + F.coalesce(b["value"], F.lit(0.0))
-        unit, origin = F.coalesce(a["unit"], b["unit"]), F.concat_ws(" + ", a["origin"], b["origin"])
-        tries.append(F.when(both, F.struct(total.alias("value"), unit.alias("unit"), origin.alias("origin"), (F.coalesce(a["n"], F.lit(0)) + F.coalesce(b["n"], F.lit(0))).cast("long").alias("n"))))
-    return found.select(*keys, F.coalesce(*tries).alias(name))
-
-
 def columns_of_years(facts: DataFrame, keys: Sequence[str], years: Sequence[int], years_of: Column) -> DataFrame:
     """Per document and year the most frequent period column that names the year, then the first by name.
 
@@ -128,47 +109,6 @@ def entity_column(facts: DataFrame, keys: Sequence[str], name: Column, owner: Co
     return out.select(*keys, "column", ((F.col("_n") > 0) & F.col("column").isNull()).alias("blocked"))
 
 
-def compared(a: DataFrame, b: DataFrame, keys: Sequence[str], absolute: float, relative: float, scaled: bool = False, magnitude: bool = False) -> DataFrame:
-    """Per key: both values, gap, and state ok, apart, unmet (a side is missing) or incomparable.
-
-    scaled: values are converted to base units, and the absolute tolerance by side a's unit;
-    magnitude: signs don't count.
-    """
-    both = a.join(b, list(keys), "full")
-    value = lambda s: (lambda v: F.abs(v) if magnitude else v)(units.in_base(F.col(f"{s}.value"), F.col(f"{s}.unit")) if scaled else F.col(f"{s}.value"))
-    both = both.withColumn("value_a", value("a").cast("double")).withColumn("value_b", value("b").cast("double"))
-    factor = F.coalesce(units.scale_factor(F.col("a.unit")), F.lit(1)) if scaled else F.lit(1)
-    allowed = F.greatest(factor * F.lit(float(absolute)), F.abs("value_a") * relative)
-    reason = units.incomparable(F.col("a.unit"), F.col("b.unit")) if scaled else F.lit(None)
-    gap = F.abs(F.col("value_a") - F.col("value_b"))
-    state = F.when(F.col("value_a").isNull() | F.col("value_b").isNull(), "unmet").when(reason.isNotNull(), "incomparable").when(gap > allowed, "apart").otherwise("ok")
-    return both.select(*keys, "value_a", "value_b", gap.alias("gap"), state.alias("state"), F.col("a.origin").alias("origin_a"), F.col("b.origin").alias("origin_b"))
-
-
-def concluded(wanted: DataFrame, years: DataFrame, keys: Sequence[str], check: str, differs: str) -> DataFrame:
-    """A verdict per wanted key from its years: `missing`, `unmet`, `differs` or ok, with the worst gap.
-
-    wanted: the keys and `present`, whether their documents are there. Years with a missing side
-    are counted as unchecked; one incomparable year leaves the whole check unmet.
-    """
-    apart = F.col("state") == "apart"
-    # of equal gaps the first year's
-    worst = F.min(F.when(apart, F.struct((-F.col("gap")).alias("g"), "year", "gap", F.when(F.col("value_a") != 0, F.col("gap") / F.abs("value_a")).alias("share"))))
-    by_key = years.groupBy(*keys).agg(
-        F.count_if(F.col("state").isin("ok", "apart")).alias("checked"), F.count_if(F.col("state") == "unmet").alias("unchecked"),
-        F.bool_or(F.col("state") == "incomparable").alias("_bad"), F.bool_or(apart).alias("_apart"), worst.alias("_worst"),
-    )
-    unmet = F.coalesce(F.col("checked"), F.lit(0)) == 0
-    verdict = F.when(~F.col("present"), "missing").when(F.coalesce("_bad", F.lit(False)) | unmet, "unmet").when(F.col("_apart"), differs).otherwise("ok")
-    done = verdict.isin("ok", differs)
-    out = wanted.join(by_key, list(keys), "left").withColumn("_verdict", verdict)
-    return out.select(
-        *keys, F.lit(check).alias("check"), F.col("_verdict").alias("verdict"),
-        F.when(done, F.col("checked")).otherwise(0).cast("long").alias("checked"), F.when(done, F.col("unchecked")).otherwise(0).cast("long").alias("unchecked"),
-        F.when(done, F.col("_worst.gap")).alias("worst_gap"), F.when(done, F.col("_worst.share")).alias("worst_share"),
-    )
-
-
 def sum_of_year(facts: DataFrame, keys: Sequence[str], years: Sequence[int]) -> DataFrame:
     """Per document and year the sum and number of lines whose label names the year, totals and means left out.
 

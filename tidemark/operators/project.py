@@ -1,10 +1,9 @@
-"""Projections over years: closed forms as windows, the cash sweep as a recurrence."""
+"""Projections over years in closed forms, as windows; recurrences are in `recurrence`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,30 +71,6 @@ def vintages(issues: DataFrame, keys: Sequence[str], year: str, amount: str, ter
     return due.groupBy(*keys, "due_year").agg(F.sum(F.col(amount) / term).alias("amortised"))
 
 
-def cash_sweep(df: DataFrame, keys: Sequence[str], year: str, flow: str, opening: float, minimum: float) -> DataFrame:
-    """Revolver: a gap below the minimum is drawn, a surplus pays back what is owed.
-
-    Every year needs the year before, so a key's years are one group in pandas; a key has
-    as many rows as years.
-    """
-    names = [*keys, year]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(year)
-        cash, debt, out = opening, 0.0, []
-        for x in rows[flow]:
-            before = cash + x
-            gap = minimum - before
-            move = gap if gap > 0 else -min(debt, max(0.0, before - minimum))
-            debt, cash = debt + move, before + move
-            out.append((move, debt, cash))
-        return rows[names].assign(draw=[o[0] for o in out], debt=[o[1] for o in out], cash=[o[2] for o in out])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", draw double, debt double, cash double"
-    return df.select(*names, F.col(flow).cast("double")).groupBy(*keys).applyInPandas(run, schema)
-
-
 def income_cascade(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str = "running") -> DataFrame:
     """Running subtotals of a statement's lines in their order."""
     return df.withColumn(out, F.sum(value).over(_upto(keys, order)))

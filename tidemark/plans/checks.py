@@ -1,4 +1,4 @@
-"""Queries of the pickers, column resolvers, sums and reconciliations of extracted lines.
+"""Queries of the pickers, column resolvers and sums of extracted lines.
 
 The lines are made of line items: a case is ten customers, a document all lines of a case and
 type; label, section, columns and unit are chosen by keys, so that all outcomes occur. Some
@@ -170,148 +170,3 @@ def document_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = entities.join(newest.where("entity is null").drop("entity"), "case_id")
     mine = entities.join(newest.where("entity is not null"), ["case_id", "entity"])
     return first_per_key(mine.unionByName(shared), ["case_id", "entity"], [-F.unix_date(F.to_date("o_orderdate")), F.col("doc_id")]).select("case_id", "entity", "doc_id")
-
-
-# --- reconciliations -------------------------------------------------------------------
-
-#: (check, types of both sides, tolerance, relative, scaled, magnitude, verdict where apart, cascade of each side)
-_ASSETS = (
-    Strategy("total", "label", ("ativo", "total"), ("circulante",)), Strategy("group", "structure", ("ativo",)),
-    Strategy("sum", "sum", ("ativo",), ("passivo", "patrimonio"), ("total do ativo",)),
-)
-_CLAIMS = (
-    Strategy("both", "label", ("passivo", "patrimonio", "total"), ("circulante",)), Strategy("group", "structure", ("passivo", "patrimonio")),
-    Strategy("liabilities", "label", ("passivo", "total"), ("patrimonio", "circulante")), Strategy("liabilities_group", "structure", ("passivo",)),
-    Strategy("equity", "label", ("patrimonio", "liquido", "total"), ("circulante", "passivo")), Strategy("equity_group", "structure", ("patrimonio",)),
-    Strategy("sum_liabilities", "sum", ("passivo",), ("patrimonio",), ("total do passivo",)), Strategy("sum_equity", "sum", ("patrimonio",), (), ("total do passivo",)),
-)
-_CASH = (
-    Strategy("equivalents", "label", ("caixa", "equivalentes"), ("circulante", "fluxo", "inicio", "inicial")), Strategy("available", "label", ("disponivel",), ("circulante",)),
-    Strategy("banks", "label", ("caixa", "bancos"), ("circulante",)), Strategy("cash", "label", ("caixa",), ("circulante", "fluxo", "inicio", "inicial", "equivalente")),
-    Strategy("available_section", "section", ("disponivel",), ("circulante",)), Strategy("cash_section", "section", ("caixa",), ("circulante", "fluxo")),
-)
-_CLOSING = tuple(Strategy(n, "label", t, ("inicial", "inicio")) for n, t in (("closing", ("saldo", "final")), ("final", ("caixa", "final")), ("end", ("caixa", "fim"))))
-_REVENUE = (Strategy("gross", "label", ("receita", "bruta"), ("liquida", "deducoes", "deducao")), Strategy("sum_gross", "sum", ("receita", "bruta"), ("deducoes", "deducao"), ("liquida", "lucro bruto", "resultado", "prejuizo")))
-_EXPENSE = (Strategy("expense", "label", ("despesas", "financeiras"), ("liquida",)), Strategy("charges", "label", ("encargos",)))
-_INTEREST = (Strategy("interest", "label", ("juros",), ("total",)),)
-_LIABILITY_STEPS = ["both", "group", ("_liabilities", "_equity"), ("sum_liabilities", "sum_equity")]
-
-
-def _found(facts: DataFrame, doc_type: str, strategies: tuple[Strategy, ...]) -> DataFrame:
-    return checks.picked(facts.where(F.col("doc_type") == doc_type), ["case_id", "year"], strategies)
-
-
-def _names(strategies: tuple[Strategy, ...]) -> list[str]:
-    return [s.name for s in strategies]
-
-
-def _sides(facts: DataFrame, yearly: DataFrame, check: str) -> tuple[DataFrame, DataFrame]:
-    keys = ["case_id", "year"]
-    if check == "assets_claims":
-        claims = _found(yearly, "BALANCO", _CLAIMS)
-        claims = claims.withColumn("_liabilities", F.coalesce("liabilities", "liabilities_group")).withColumn("_equity", F.coalesce("equity", "equity_group"))
-        return checks.side(_found(yearly, "BALANCO", _ASSETS), keys, "a", _names(_ASSETS)), checks.side(claims, keys, "b", _LIABILITY_STEPS)
-    if check == "cash":
-        return checks.side(_found(yearly, "BALANCO", _CASH), keys, "a", _names(_CASH)), checks.side(_found(yearly, "FLUXO_CAIXA", _CLOSING), keys, "b", _names(_CLOSING))
-    if check == "revenue_billing":
-        billed = facts.where("doc_type = 'FATURAMENTO_24M'")
-        counted = billed.where("value is not null").groupBy("case_id", "unit").agg(F.count("*").alias("n")).where("unit is not null")
-        unit = first_per_key(counted, ["case_id"], [-F.col("n"), F.col("unit")]).select("case_id", "unit")
-        sums = checks.sum_of_year(billed, ["case_id"], _YEARS).join(unit, "case_id", "left")
-        b = sums.select(*keys, F.struct("value", "unit", F.lit("months").alias("origin"), "n").alias("b"))
-        return checks.side(_found(yearly, "DRE", _REVENUE), keys, "a", _names(_REVENUE)), b
-    return checks.side(_found(yearly, "DRE", _EXPENSE), keys, "a", _names(_EXPENSE)), checks.side(_found(yearly, "MAPA_DIVIDA", _INTEREST), keys, "b", _names(_INTEREST))
-
-
-_CHECKS = {
-    "assets_claims": (("BALANCO", "BALANCO"), 100.0, 0.005, False, False, "apart"),
-    "cash": (("BALANCO", "FLUXO_CAIXA"), 100.0, 0.005, True, False, "apart"),
-    "revenue_billing": (("DRE", "FATURAMENTO_24M"), 500.0, 0.05, True, False, "grey"),
-    "expense_interest": (("DRE", "MAPA_DIVIDA"), 500.0, 0.05, True, True, "grey"),
-}
-
-
-def _years(facts: DataFrame, yearly: DataFrame, check: str) -> DataFrame:
-    """The target years of every case with both sides; a year of neither side is unmet."""
-    _, absolute, relative, scaled, magnitude, _ = _CHECKS[check]
-    a, b = _sides(facts, yearly, check)
-    years = facts.select("case_id").distinct().select("case_id", F.explode(F.array(*map(F.lit, _YEARS))).alias("year"))
-    compared = checks.compared(a, b, ["case_id", "year"], absolute, relative, scaled, magnitude)
-    return years.join(compared, ["case_id", "year"], "left").withColumn("state", F.coalesce("state", F.lit("unmet")))
-
-
-def _checked(spark: SparkSession, sf_dir: str, check: str) -> DataFrame:
-    facts = _facts(spark, sf_dir)
-    types, *_, differs = _CHECKS[check]
-    wanted = facts.groupBy("case_id").agg(F.bool_and(F.lit(True)).alias("_t"), *(F.bool_or(F.col("doc_type") == t).alias(f"_{k}") for k, t in enumerate(types)))
-    wanted = wanted.select("case_id", (F.col("_0") & F.col("_1")).alias("present"))
-    return checks.concluded(wanted, _years(facts, _yearly(facts), check), ["case_id"], check, differs)
-
-
-_FACTOR = f"case {{n}} when 'r$ mil' then 1000 when 'r$' then 1 end"
-_SCALE = lambda side: _FACTOR.format(n=_sql_normal(f"{side}.unit"))
-
-
-def _sql_side(doc_type: str, strategies: tuple[Strategy, ...]) -> str:
-    """case_id, year, value, unit of the first strategy that finds something."""
-    parts = [f"select case_id, year, value, unit, {k} as step from {_sql_pick(s, f'''(select * from g where doc_type = '{doc_type}')''', 'case_id, year')}" for k, s in enumerate(strategies)]
-    return f"(select case_id, year, value, unit from (select *, row_number() over (partition by case_id, year order by step) r from ({' union all '.join(parts)})) where r = 1)"
-
-
-def _sql_sides(check: str) -> tuple[str, str]:
-    if check == "assets_claims":
-        pair = lambda x, y, kind: f"(select case_id, year, coalesce(x.value, 0) + coalesce(y.value, 0) as value, coalesce(x.unit, y.unit) as unit from {x} x {kind} join {y} y using (case_id, year))"
-        one = lambda *s: _sql_side("BALANCO", s)
-        steps = [one(_CLAIMS[0]), one(_CLAIMS[1]), pair(one(_CLAIMS[2], _CLAIMS[3]), one(_CLAIMS[4], _CLAIMS[5]), "inner"), pair(one(_CLAIMS[6]), one(_CLAIMS[7]), "full")]
-        parts = " union all ".join(f"select *, {k} as step from {x}" for k, x in enumerate(steps))
-        return _sql_side("BALANCO", _ASSETS), f"(select case_id, year, value, unit from (select *, row_number() over (partition by case_id, year order by step) r from ({parts})) where r = 1)"
-    if check == "cash":
-        return _sql_side("BALANCO", _CASH), _sql_side("FLUXO_CAIXA", _CLOSING)
-    if check == "revenue_billing":
-        unit = "(select case_id, unit from (select case_id, unit, row_number() over (partition by case_id order by count(*) desc, unit) r from f where doc_type = 'FATURAMENTO_24M' and value is not null and unit is not null group by case_id, unit) where r = 1)"
-        return _sql_side("DRE", _REVENUE), f"(select s.case_id, s.year, s.value, u.unit from {_BILLING} s left join {unit} u using (case_id) where s.doc_type = 'FATURAMENTO_24M')"
-    return _sql_side("DRE", _EXPENSE), _sql_side("MAPA_DIVIDA", _INTEREST)
-
-
-def _sql_check(check: str) -> str:
-    (one, two), absolute, relative, scaled, magnitude, differs = _CHECKS[check]
-    a, b = _sql_sides(check)
-    base = lambda s: f"{s}.value * coalesce({_SCALE(s)}, 1)" if scaled else f"{s}.value"
-    value = lambda s: f"abs({base(s)})" if magnitude else base(s)
-    bad = f"not (a.unit is null or b.unit is null or {_sql_normal('a.unit')} = {_sql_normal('b.unit')} or ({_SCALE('a')} is not null and {_SCALE('b')} is not null))" if scaled else "false"
-    factor = f"coalesce({_SCALE('a')}, 1)" if scaled else "1"
-    return f"""select case_id, '{check}' as "check", verdict, case when verdict in ('ok', '{differs}') then checked else 0 end as checked, case when verdict in ('ok', '{differs}') then unchecked else 0 end as unchecked,
-  case when verdict in ('ok', '{differs}') then worst_gap end as worst_gap, case when verdict in ('ok', '{differs}') then worst_share end as worst_share from (
-  select case_id, case when not (bool_or(has_one) and bool_or(has_two)) then 'missing' when bool_or(state = 'incomparable') or count(*) filter (where state in ('ok', 'apart')) = 0 then 'unmet' when bool_or(state = 'apart') then '{differs}' else 'ok' end as verdict,
-    count(*) filter (where state in ('ok', 'apart')) as checked, count(*) filter (where state = 'unmet') as unchecked, max(gap) filter (where state = 'apart') as worst_gap,
-    (list(case when va <> 0 then gap / abs(va) end order by gap desc, year) filter (where state = 'apart'))[1] as worst_share from (
-    select case_id, year, has_one, has_two, va, abs(va - vb) as gap, case when va is null or vb is null then 'unmet' when bad then 'incomparable' when abs(va - vb) > greatest(factor * {absolute}, abs(va) * {relative}) then 'apart' else 'ok' end as state from (
-      select c.case_id, t.year, has_one, has_two, cast({value('a')} as double) as va, cast({value('b')} as double) as vb, {bad} as bad, {factor} as factor
-      from (select case_id, bool_or(doc_type = '{one}') as has_one, bool_or(doc_type = '{two}') as has_two from f group by 1) c cross join (values (2023), (2024)) t(year)
-      left join {a} a on a.case_id = c.case_id and a.year = t.year left join {b} b on b.case_id = c.case_id and b.year = t.year)) group by case_id)"""
-
-
-def _register_check(check: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _checked(spark, sf_dir, check)
-
-    run.__name__ = f"recon_{check}"
-    query(f"with {_F} {_sql_check(check)}")(run)
-
-
-for _check in _CHECKS:
-    _register_check(_check)
-
-
-@query(f"""with {_F}, r as ({' union all '.join(_sql_check(c) for c in _CHECKS)}),
-w as (select distinct case_id, doc_type from f), t("check", doc_type) as (values {", ".join(f"('{c}', '{t}')" for c, x in _CHECKS.items() for t in dict.fromkeys(x[0]))})
-select case_id, doc_type, "check", verdict from w join t using (doc_type) join r using (case_id, "check")""")
-def recon_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The checks that each document's type takes part in, with their verdicts."""
-    every = None
-    for check in _CHECKS:
-        one = _checked(spark, sf_dir, check)
-        every = one if every is None else every.unionByName(one)
-    takes = spark.createDataFrame([(c, t) for c, x in _CHECKS.items() for t in dict.fromkeys(x[0])], "check string, doc_type string")
-    documents = _facts(spark, sf_dir).select(*_DOC).distinct()
-    return documents.join(F.broadcast(takes), "doc_type").join(every, ["case_id", "check"]).select(*_DOC, "check", "verdict")
