@@ -19,14 +19,6 @@ def test_verdict_flips(spark):
     assert [r[0] for r in df.select(recon.verdict(F.col("a"), F.col("b"), 100, 0.005)).collect()] == ["ok", "divergent", "ok", "unmet"]
 
 
-def test_duplicate_pairs(spark):
-    data = [("s", "x", "c1", 5), ("s", "y", "c1", 5), ("s", "x", "c2", 7), ("s", "y", "c2", 7), ("s", "z", "c1", 5), ("s", "z", "c2", 8)]
-    df = spark.createDataFrame(data, "s string, l string, c string, v long")
-    assert rows(recon.duplicate_pairs(df, "s", "l", ["c"], "v").select("label_a", "label_b", "n_equal"), "label_a") == [("x", "y", 2)]
-    broken = spark.createDataFrame([*data[:3], ("s", "y", "c2", 6)], df.schema)
-    assert recon.duplicate_pairs(broken, "s", "l", ["c"], "v").count() == 0
-
-
 def test_guards(spark):
     df = spark.createDataFrame([(1, f"l{i}", 500.0) for i in range(4)] + [(1, "big", 9000.0), (2, "a", 1.0)], "k int, l string, v double")
     assert rows(recon.repeated_values(df, ["k"], "v", "l"), "k") == [(1, 500.0, 4, True), (2, 1.0, 1, False)]

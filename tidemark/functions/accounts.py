@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize
+from .statements import has_any, tokens
 
-# Blocks by canonical section, and the words that tell accounts apart (without accents, * ends a stem).
+# Blocks by canonical section, and the words that tell accounts apart, in the singular.
 BLOCKS = {
     "receita_bruta": "receita",
     "custos": "custo",
@@ -21,25 +21,21 @@ BLOCKS = {
     "patrimonio_liquido": "patrimonio_liquido",
 }
 DEDUCTION = (
-    "devolu*", "abatimento*", "desconto concedido", "desconto concedidos", "descontos concedido", "descontos concedidos", "icms sobre", "ipi sobre",
-    "pis e cofins sobre", "pis/cofins sobre", "iss sobre", "imposto sobre venda", "imposto sobre vendas", "impostos sobre venda",
-    "impostos sobre vendas", "deducoes", "tributos sobre venda", "tributos sobre vendas", "cancelad*",
+    "devolucao", "abatimento", "desconto concedido", "icms sobre", "ipi sobre", "pis e cofins sobre", "iss sobre", "imposto sobre venda", "deducao", "tributo sobre venda", "cancelado", "cancelada", "cancelamento",
 )
 FIXED_ASSET = (
-    "imobilizado", "edifica*", "terreno*", "veiculo*", "maquina*", "equipamento*", "instalac*", "movel", "moveis", "utensilio*", "ferramenta*",
-    "frota", "empilhadeira*", "intangivel", "software*", "marca e patente", "marca e patentes", "marcas e patente", "marcas e patentes",
+    "imobilizado", "edificacao", "terreno", "veiculo", "maquina", "maquinario", "equipamento", "instalacao", "movel", "moveis", "utensilio", "ferramenta", "ferramental", "ferramentaria",
+    "frota", "empilhadeira", "intangivel", "software", "softwares", "marca e patente",
 )
 CASH = (
-    "caixa", "disponibilidade", "disponibilidades", "disponivel", "banco", "bancos", "conta movimento", "equivalente de caixa", "equivalentes de caixa",
-    "aplicacoes financeiras", "aplicacoes de liquidez", "titulos e valores mobiliarios", "numerario",
+    "caixa", "disponibilidade", "disponivel", "banco", "conta movimento", "equivalente de caixa", "aplicacao financeira", "aplicacao de liquidez", "titulo e valor mobiliario", "numerario",
 )
 DEBT_MAP = "MAPA_DIVIDA"
 
 
-def names_any(label: Column, words: tuple[str, ...]) -> Column:
-    """Whether a label holds any of the words as whole words, accents and case aside."""
-    stems = "|".join(w[:-1] + r"[a-z0-9]*" if w.endswith("*") else w for w in words)
-    return normalize(label).rlike(rf"\b({stems})\b")
+def names_any(label: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a label holds all words of one of the phrases, in the singular, accents and case aside."""
+    return F.transform(F.array(tokens(F.coalesce(label, F.lit("")))), lambda t: has_any(t, phrases))[0]
 
 
 def is_fixed_asset(label: Column) -> Column:

@@ -22,7 +22,7 @@ CAPTION_WORDS = (
     "gerado", "gerada", "aplicado", "aplicada", "consumido", "consumida", "utilizado", "utilizada", "proveniente", "obtido", "obtida",
     "oriundo", "oriunda", "decorrente", "atividade", "operacao", "pela", "pelo", "na", "no", "exercicio", "periodo", "ano", "total", "geral", "valor",
 )
-#: Beginnings of labels that are details, not totals.
+# Beginnings of labels that are details, not totals.
 DETAIL = r"(?i)^\s*[(\[]?\s*[-+]|^\s*outr[ao]s?\b|^\s*variac|^\s*\(-\)"
 #: Endings of plurals: the ending, what is cut off, what is put on, and the least length of the word.
 PLURALS = (("oes", 3, "ao", 4), ("aes", 3, "ao", 4), ("ais", 3, "al", 4), ("eis", 3, "el", 4), ("ois", 3, "ol", 4), ("res", 2, "", 6), ("s", 1, "", 4))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pick import first_per_key
 
 
 def completeness(cases: DataFrame, wanted: DataFrame, documents: DataFrame, lines: DataFrame, key: str, kind: str, doc: str) -> DataFrame:
@@ -39,21 +38,27 @@ def role_of_labels(df: DataFrame, key: str, section: str, label: str, role: Colu
     one = df.select(key, section, label, F.struct(priority.alias("p"), role.alias("r")).alias("_r"))
     across = one.groupBy(key, label).agg(F.min("_r").alias("_any"))
     within = one.groupBy(key, section, label).agg(F.min("_r").alias("_own"))
-    both = within.join(across, [key, label])
-    return both.select(key, section, label, F.when(F.col(section).isNull(), F.col("_any.r")).otherwise(F.col("_own.r")).alias("role"))
+    same = F.col(f"w.{key}").eqNullSafe(F.col(f"a.{key}")) & F.col(f"w.{label}").eqNullSafe(F.col(f"a.{label}"))
+    both = within.alias("w").join(across.alias("a"), same)
+    return both.select(f"w.{key}", f"w.{section}", f"w.{label}", F.when(F.col(f"w.{section}").isNull(), F.col("_any.r")).otherwise(F.col("_own.r")).alias("role"))
 
 
-def registered(documents: DataFrame, key: str, digest: str, at: Sequence[Column], doc: str) -> DataFrame:
-    """Each document's version within its case and digest's first copy: new, or repeated of an earlier one.
+def registered(documents: DataFrame, key: str, digest: str, at: Sequence[Column], doc: str, human: Column, replaced: Sequence[str] = (), filled: Sequence[str] = ()) -> DataFrame:
+    """Every sending of a case with its document, its version of it, and the document's fields after it.
 
-    version counts the distinct contents of a case in order; a repeated content has its first one's.
+    Sendings with the same digest are versions of one document, in order; null and blank digests
+    match nothing, so each is a document of its own. A new version sets the fields `replaced`, and
+    `filled` where it has a value, until a sending by a human: nothing later changes what that set.
     """
-    first = first_per_key(documents.select(key, digest, doc, *(c.alias(f"_a{k}") for k, c in enumerate(at))), [key, digest], [*(F.col(f"_a{k}") for k in range(len(at))), F.col(doc)])
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(key).orderBy(*(F.col(f"_a{k}") for k in range(len(at))), doc)
-    first = first.select(key, digest, F.col(doc).alias("first_doc"), F.row_number().over(order).alias("version"))
-    return documents.select(key, digest, doc).join(first, [key, digest]).withColumn("repeated", F.col(doc) != F.col("first_doc"))
+    content = F.coalesce(F.concat(F.lit("="), F.nullif(F.trim(digest), F.lit(""))), F.concat(F.lit("#"), F.col(doc).cast("string")))
+    rows = documents.withColumn("_content", content).withColumn("_human", F.coalesce(human, F.lit(False)))
+    group = Window.partitionBy(key, "_content").orderBy(*at, doc)
+    upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = F.struct(*replaced, *(F.last(c, ignorenulls=True).over(upto).alias(c) for c in filled))
+    rows = rows.withColumn("version", F.row_number().over(group)).withColumn("document", F.first(doc).over(upto)).withColumn("_told", told)
+    rows = rows.withColumn("_set", F.first(F.when(F.col("_human"), F.col("_told")), ignorenulls=True).over(upto))
+    fields = [F.when(F.col("_set").isNotNull(), F.col(f"_set.{c}")).otherwise(F.col(f"_told.{c}")).alias(c) for c in (*replaced, *filled)]
+    return rows.select(key, digest, doc, "document", "version", (F.col("version") > 1).alias("repeated"), *fields)
 
 
 def accepted(df: DataFrame, dial: Column, confidence: Column, limit: Column, flagged: Column, by_human: Column) -> DataFrame:

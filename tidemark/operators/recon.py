@@ -1,4 +1,4 @@
-"""Reconciliation: tolerances, duplicate labels, guards, gates, completeness."""
+"""Tolerances, guards, gates, completeness; pairs of labels are in `duplicates`."""
 
 from __future__ import annotations
 
@@ -14,30 +14,6 @@ def verdict(a: Column, b: Column, absolute: float, relative: float, differs: str
     return F.when(a.isNull() | b.isNull(), unmet).when(gap > F.greatest(F.lit(float(absolute)), F.abs(a).cast("double") * relative), differs).otherwise("ok")
 
 
-def duplicate_pairs(df: DataFrame, section: str, label: str, columns: Sequence[str], value: str, tokens: Column | None = None, least_columns: int = 2) -> DataFrame:
-    """Labels of a section that hold one and the same value in every column they share.
-
-    A pair needs `least_columns` equal columns, or, where `tokens` is given, one equal
-    column and one label's tokens within the other's. Columns where a label has several
-    values don't count; one shared column that disagrees rules the pair out. Equal values
-    meet by an equi-join, so pairs arise only among labels that do agree somewhere.
-    """
-    keys = [section, *columns]
-    t = tokens if tokens is not None else F.array().cast("array<string>")
-    one = df.where(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(*keys, label).agg(F.count_distinct(value).alias("_n"), F.max(value).alias("_v"), F.first(t).alias("_t")).where("_n = 1").drop("_n")
-    side = lambda x: one.select(*keys, F.col(label).alias(f"label_{x}"), F.col("_v").alias(f"v_{x}"), F.col("_t").alias(f"t_{x}"))
-    equal = side("a").join(side("b").withColumnRenamed("v_b", "v_a"), [*keys, "v_a"]).where("label_a < label_b")
-    within = (F.size(F.array_except("t_a", "t_b")) == 0) | (F.size(F.array_except("t_b", "t_a")) == 0)
-    pairs = equal.groupBy(section, "label_a", "label_b").agg(F.count("*").alias("n_equal"), F.max(F.abs("v_a")).alias("value"), F.bool_or(within).alias("within"))
-    # shared columns of the pairs found, whatever the values
-    shared = pairs.select(section, "label_a", "label_b").join(side("a"), [section, "label_a"]).join(side("b"), [*keys, "label_b"])
-    against = shared.where("v_a <> v_b").select(section, "label_a", "label_b").distinct()
-    enough = F.col("n_equal") >= least_columns
-    if tokens is not None:
-        enough = enough | F.col("within")
-    return pairs.where(enough).join(against, [section, "label_a", "label_b"], "left_anti")
-
-
 def repeated_values(df: DataFrame, keys: Sequence[str], value: str, label: str, least: int = 4, part: float = 0.01, floor: float = 1.0) -> DataFrame:
     """Per key the material value that most different labels repeat.
 

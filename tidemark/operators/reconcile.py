@@ -14,6 +14,7 @@ lines, any other if all parts did.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -174,85 +175,107 @@ def _period_column(doc: Column, year: Column) -> Column:
     return F.when(year.isNotNull() & (F.size(doc["periods"]) > 0), F.when(best.isNull(), NONE).otherwise(text.normalize(best)))
 
 
-def _found(side: Side, known: list[Strategy], fit: Column, year: Column, doc: Column) -> Column:
-    """(value, unit, origin, n) of the first step that finds something."""
+_SIDE = "struct<role: int, by_entity: boolean, by_period: boolean, doc_unit: boolean, steps: array<struct<parts: array<array<int>>, loose: boolean>>>"
+_CHECK = f"struct<name: string, sides: array<{_SIDE}>, absolute: double, relative: double, differs: string, scaled: boolean, magnitude: boolean, needs_year: boolean>"
 
-    def one(s: Strategy) -> Column:
-        k = known.index(s)
+
+def _as_data(checks: Sequence[Check]) -> tuple[Column, Column, Column]:
+    """The checks, with numbers for roles and strategies, and the strategies' names and whether they add up, as constants.
+
+    One expression then stands for all checks, steps and strategies, however many they are.
+    """
+    known, roles = _strategies(checks), list(_roles(checks))
+
+    def side(s: Side) -> dict:
+        steps = [{"parts": [[known.index(x) for x in part] for part in step], "loose": all(x.kind in SUMS for part in step for x in part)} for step in s.steps]
+        return {"role": roles.index((s.types, s.own)), "by_entity": s.by_entity, "by_period": s.by_period, "doc_unit": s.doc_unit, "steps": steps}
+
+    every = [{"name": c.name, "sides": [side(c.a), side(c.b)], **{f: getattr(c, f) for f in ("absolute", "relative", "differs", "scaled", "magnitude", "needs_year")}} for c in checks]
+    told = lambda data, kind: F.from_json(F.lit(json.dumps(data)), kind)
+    return told(every, f"array<{_CHECK}>"), told([s.name for s in known], "array<string>"), told([s.kind in SUMS for s in known], "array<boolean>")
+
+
+def _first(found: Column) -> Column:
+    return _bound(F.filter(found, lambda x: x.isNotNull()), lambda xs: F.get(xs, 0))
+
+
+def _found(side: Column, fit: Column, year: Column, doc: Column, names: Column, sums: Column) -> Column:
+    """(value, unit, origin, n) of the first step of a side that finds something in the cells that fit."""
+    n = lambda cells: F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+
+    def one(k: Column) -> Column:
         mine = F.filter(fit, lambda c: (c["strategy"] == k) & (c["year"].isNull() | (c["year"] == year) | (c["year"] == year % 100)))
-        if s.kind not in SUMS:
-            best = F.array_min(F.transform(mine, lambda c: c["best"]))
-            return _bound(best, lambda b: F.when(b.isNotNull(), F.struct(b["value"].cast("double").alias("value"), F.nullif(b["unit"], F.lit("")).alias("unit"), F.concat(F.lit(f"{s.name}: "), b["label"]).alias("origin"), F.lit(1).cast("long").alias("n"))))
-
-        def added(m: Column) -> Column:
-            n = lambda cells: F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"])
-            names = F.array_distinct(F.transform(F.filter(m, lambda c: c["unit"].isNotNull()), lambda c: c["unit"]))
-            unit = doc["unit"] if side.doc_unit else F.array_min(F.transform(names, lambda u: F.struct((-n(F.filter(m, lambda c: c["unit"] == u))).alias("n"), u.alias("unit"))))["unit"]
-            total = F.aggregate(m, F.lit(0.0), lambda a, c: a + c["sum"].cast("double"))
-            return F.when(F.size(m) > 0, F.struct(total.alias("value"), unit.alias("unit"), F.lit(s.name).alias("origin"), n(m).alias("n")))
 
-        return _bound(mine, added)
+        def value(m: Column) -> Column:
+            units_of = F.array_distinct(F.transform(F.filter(m, lambda c: c["unit"].isNotNull()), lambda c: c["unit"]))
+            most = F.array_min(F.transform(units_of, lambda u: F.struct((-n(F.filter(m, lambda c: c["unit"] == u))).alias("n"), u.alias("unit"))))["unit"]
+            total = F.aggregate(m, F.lit(0.0), lambda a, c: a + c["sum"].cast("double"))
+            added = F.struct(total.alias("value"), F.when(side["doc_unit"], doc["unit"]).otherwise(most).alias("unit"), F.get(names, k).alias("origin"), n(m).alias("n"))
+            picked = lambda b: F.struct(b["value"].cast("double").alias("value"), F.nullif(b["unit"], F.lit("")).alias("unit"), F.concat(F.get(names, k), F.lit(": "), b["label"]).alias("origin"), F.lit(1).cast("long").alias("n"))
+            return F.when(F.size(m) > 0, F.when(F.get(sums, k), added).otherwise(_bound(F.array_min(F.transform(m, lambda c: c["best"])), picked)))
 
-    def step(parts: tuple[tuple[Strategy, ...], ...]) -> Column:
-        if len(parts) == 1:
-            return F.coalesce(*map(one, parts[0]))
-        loose = all(s.kind in SUMS for p in parts for s in p)
+        return _bound(mine, value)
 
-        def both(found: Column) -> Column:
-            had = F.array_compact(found)
-            enough = F.size(had) > 0 if loose else F.size(had) == len(parts)
-            return F.when(enough, F.struct(
+    def step(st: Column) -> Column:
+        def together(had: Column) -> Column:
+            enough = (F.size(had) == F.size(st["parts"])) | (st["loose"] & (F.size(had) > 0))
+            whole = F.struct(
                 F.aggregate(had, F.lit(0.0), lambda a, x: a + x["value"]).alias("value"), F.get(F.array_compact(F.transform(had, lambda x: x["unit"])), 0).alias("unit"),
                 F.array_join(F.transform(had, lambda x: x["origin"]), " + ").alias("origin"), F.aggregate(had, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"),
-            ))
+            )
+            return F.when(enough, whole)
 
-        return _bound(F.array(*(F.coalesce(*map(one, p)) for p in parts)), both)
+        return _bound(F.array_compact(F.transform(st["parts"], lambda part: _first(F.transform(part, one)))), together)
 
-    return F.coalesce(*map(step, side.steps))
+    return _first(F.transform(side["steps"], step))
 
 
-def _side(side: Side, known: list[Strategy], doc: Column, name: Column, year: Column) -> Column:
-    entity = _entity_column(doc, name) if side.by_entity else F.lit(None).cast("string")
-    column = _period_column(doc, year) if side.by_period else F.lit(None).cast("string")
+def _valued(side: Column, doc: Column, name: Column, year: Column, names: Column, sums: Column) -> Column:
+    entity = F.when(side["by_entity"], _entity_column(doc, name))
+    column = F.when(side["by_period"], _period_column(doc, year))
 
-    def fit(keys: Column) -> Column:
+    def within(keys: Column) -> Column:
         mine = F.filter(doc["cells"], lambda c: (keys["entity"].isNull() | (c["entity"].isNotNull() & (c["entity_key"] == keys["entity"]))) & (keys["period"].isNull() | (c["period"].isNotNull() & (c["period_key"] == keys["period"]))))
-        return _bound(mine, lambda cells: _found(side, known, cells, year, doc))
+        return _bound(mine, lambda cells: _found(side, cells, year, doc, names, sums))
 
-    return _bound(F.struct(entity.alias("entity"), column.alias("period")), fit)
+    return _bound(F.struct(entity.alias("entity"), column.alias("period")), within)
 
 
-def _compared(check: Check, x: Column) -> Column:
+def _compared(check: Column, x: Column) -> Column:
     """year, values, gap, share and state (ok, apart, unmet, incomparable) of one year's sides."""
-    value = lambda s: (lambda v: F.abs(v) if check.magnitude else v)(units.in_base(x[s]["value"], x[s]["unit"]) if check.scaled else x[s]["value"])
+    a, b = F.get(x["sides"], 0), F.get(x["sides"], 1)
+    based = F.transform(x["sides"], lambda s: F.struct(F.when(check["scaled"], units.in_base(s["value"], s["unit"])).otherwise(s["value"]).alias("value")))
+    values = F.transform(based, lambda s: F.when(check["magnitude"], F.abs(s["value"])).otherwise(s["value"]))
 
     def judged(v: Column) -> Column:
-        gap = F.abs(v["a"] - v["b"])
-        factor = F.coalesce(units.scale_factor(x["a"]["unit"]), F.lit(1)) if check.scaled else F.lit(1)
-        allowed = F.greatest(factor * F.lit(float(check.absolute)), F.abs(v["a"]) * check.relative)
-        apart = units.incomparable(x["a"]["unit"], x["b"]["unit"]).isNotNull() if check.scaled else F.lit(False)
-        state = F.when(v["a"].isNull() | v["b"].isNull(), "unmet").when(apart, "incomparable").when(gap > allowed, "apart").otherwise("ok")
-        share = F.when(v["a"] != 0, gap / F.abs(v["a"]))
-        return F.struct(x["year"].alias("year"), v["a"].alias("value_a"), v["b"].alias("value_b"), gap.alias("gap"), share.alias("share"), state.alias("state"), x["a"]["origin"].alias("origin_a"), x["b"]["origin"].alias("origin_b"))
+        va, vb = F.get(v, 0), F.get(v, 1)
+        gap = F.abs(va - vb)
+        factor = F.when(check["scaled"], F.coalesce(units.scale_factor(a["unit"]), F.lit(1))).otherwise(1)
+        allowed = F.greatest(factor * check["absolute"], F.abs(va) * check["relative"])
+        apart = check["scaled"] & units.incomparable(a["unit"], b["unit"]).isNotNull()
+        state = F.when(va.isNull() | vb.isNull(), "unmet").when(apart, "incomparable").when(gap > allowed, "apart").otherwise("ok")
+        share = F.when(va != 0, gap / F.abs(va))
+        return F.struct(x["year"].alias("year"), va.alias("value_a"), vb.alias("value_b"), gap.alias("gap"), share.alias("share"), state.alias("state"), a["origin"].alias("origin_a"), b["origin"].alias("origin_b"))
 
-    return _bound(F.struct(value("a").alias("a"), value("b").alias("b")), judged)
+    return _bound(values, judged)
 
 
-def _verdict(check: Check, there: Column, years: Column) -> Column:
+def _verdict(check: Column, there: Column, years: Column) -> Column:
     """The check's row: missing (a document), unmet, differing or ok; the worst year's gap, of equal ones the first's."""
-    in_state = lambda *names: F.filter(years, lambda y: y["state"].isin(*names))
-    checked = F.size(in_state("ok", "apart"))
-    worst = F.array_min(F.transform(in_state("apart"), lambda y: F.struct((-y["gap"]).alias("g"), F.coalesce(y["year"], F.lit(0)).alias("year"), y["gap"].alias("gap"), y["share"].alias("share"))))
-    verdict = F.when(~there, "missing").when((F.size(in_state("incomparable")) > 0) | (checked == 0), "unmet").when(F.size(in_state("apart")) > 0, check.differs).otherwise("ok")
-
-    def row(v: Column) -> Column:
-        done = v["verdict"].isin("ok", check.differs)
+    states = F.transform(years, lambda y: y["state"])
+    count = lambda *names: F.size(F.filter(states, lambda s: s.isin(*names)))
+    counts = F.struct(count("ok", "apart").alias("checked"), count("unmet").alias("unmet"), count("incomparable").alias("bad"), count("apart").alias("apart"))
+    worst = F.array_min(F.transform(F.filter(years, lambda y: y["state"] == "apart"), lambda y: F.struct((-y["gap"]).alias("g"), F.coalesce(y["year"], F.lit(0)).alias("year"), y["gap"].alias("gap"), y["share"].alias("share"))))
+
+    def row(n: Column) -> Column:
+        verdict = F.when(~there, "missing").when((n["bad"] > 0) | (n["checked"] == 0), "unmet").when(n["apart"] > 0, check["differs"]).otherwise("ok")
+        done = there & (n["bad"] == 0) & (n["checked"] > 0)
         return F.struct(
-            F.lit(check.name).alias("check"), v["verdict"].alias("verdict"), F.when(done, checked).otherwise(0).cast("long").alias("checked"), F.when(done, F.size(in_state("unmet"))).otherwise(0).cast("long").alias("unchecked"),
-            F.when(done, v["worst"]["gap"]).alias("worst_gap"), F.when(done, v["worst"]["share"]).alias("worst_share"), F.when(done, years).alias("years"),
+            check["name"].alias("check"), verdict.alias("verdict"), F.when(done, n["checked"]).otherwise(0).cast("long").alias("checked"), F.when(done, n["unmet"]).otherwise(0).cast("long").alias("unchecked"),
+            F.when(done, worst["gap"]).alias("worst_gap"), F.when(done, worst["share"]).alias("worst_share"), F.when(done, years).alias("years"),
         )
 
-    return _bound(F.struct(verdict.alias("verdict"), worst.alias("worst")), row)
+    return _bound(counts, row)
 
 
 def reconciled(lines: DataFrame, documents: DataFrame, targets: DataFrame, checks: Sequence[Check]) -> DataFrame:
@@ -262,7 +285,8 @@ def reconciled(lines: DataFrame, documents: DataFrame, targets: DataFrame, check
     (one of the documents is), unmet (no year has both sides in comparable units), ok, or the
     check's own. Repeated targets are one; lines of unknown documents count for nothing.
     """
-    known, roles = _strategies(checks), _roles(checks)
+    roles = _roles(checks)
+    every, names, sums = _as_data(checks)
     picks = picked_documents(targets, documents, checks).join(aggregated(lines, checks), "doc_id", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(dict(picks.dtypes)[c])).alias(c)
     whole = F.struct("doc_id", "owner", empty("cells"), empty("entities"), empty("periods"), "unit")
@@ -272,17 +296,17 @@ def reconciled(lines: DataFrame, documents: DataFrame, targets: DataFrame, check
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"w.{k}"))
-    rows = one.alias("t").join(wide.alias("w"), same, "left").select(*(F.col(f"t.{k}").alias(k) for k in keys), "entity_name", *roles.values())
+    rows = one.alias("t").join(wide.alias("w"), same, "left").select(*(F.col(f"t.{k}").alias(k) for k in keys), "entity_name", F.array(*roles.values()).alias("_docs"), period.target_years(F.col("t.ref")).alias("_years"))
+    doc_of = lambda side: F.get("_docs", side["role"])
 
-    def result(check: Check) -> Column:
-        a, b = (F.col(roles[s.types, s.own]) for s in (check.a, check.b))
-        years = period.target_years(F.col("ref"))
-        if check.needs_year:
-            years = F.filter(years, lambda y: y.isNotNull())
-        sides = F.transform(years, lambda y: F.struct(y.alias("year"), _side(check.a, known, a, F.col("entity_name"), y).alias("a"), _side(check.b, known, b, F.col("entity_name"), y).alias("b")))
-        return _bound(F.transform(sides, lambda x: _compared(check, x)), lambda ys: _verdict(check, a.isNotNull() & b.isNotNull(), ys))
+    def result(check: Column) -> Column:
+        years = F.filter("_years", lambda y: y.isNotNull() | ~check["needs_year"])
+        valued = lambda y: F.transform(check["sides"], lambda side: _bound(doc_of(side), lambda doc: _valued(side, doc, F.col("entity_name"), y, names, sums)))
+        compared = F.transform(F.transform(years, lambda y: F.struct(y.alias("year"), valued(y).alias("sides"))), lambda x: _compared(check, x))
+        there = F.forall(check["sides"], lambda side: doc_of(side).isNotNull())
+        return _bound(compared, lambda ys: _verdict(check, there, ys))
 
-    return rows.select(*keys, F.inline(F.array(*map(result, checks))))
+    return rows.select(*keys, F.inline(F.transform(every, result)))
 
 
 def by_document(documents: DataFrame, periods: DataFrame, takes: DataFrame) -> DataFrame:

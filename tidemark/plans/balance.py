@@ -13,7 +13,7 @@ _LABELS = [
     "TOTAL DO ATIVO", "Circulante", "Não Circulante", "Realizável a Longo Prazo", "Imobilizado", "Patrimônio Líquido", "Total do Passivo e do Patrimônio Líquido", "Caixa e bancos",
     "Duplicatas a receber", "Estoques de mercadorias", "Máquinas e equipamentos", "Marcas e patentes", "Participação em coligadas", "Depósitos judiciais", "Fornecedores nacionais", "Salários a pagar",
     "Empréstimos bancários", "Financiamentos de longo prazo", "Mútuo a receber de coligada", "Adiantamentos de clientes", "Receita diferida", "ICMS a recolher", "Impostos a recuperar", "Capital social",
-    "Lucros acumulados", "Receita de vendas de mercadorias", "Custo das mercadorias vendidas", "Despesas antecipadas", "Provisão para contingências", "Outras contas", "Terrenos", "Saldo em 31/12/2024", "Lucro líquido",
+    "Lucros acumulados", "ICMS a recuperar", "PECLD", "Cheques a compensar", "Produtos em andamento", "INSS", "Adiantamento para futuro aumento de capital", "Receita de vendas de mercadorias", "Custo das mercadorias vendidas", "Despesas antecipadas", "Provisão para contingências", "Outras contas", "Terrenos", "Saldo em 31/12/2024", "Lucro líquido",
 ]
 _SECTIONS = ["", "Ativo Circulante", "Ativo Não Circulante", "Passivo Circulante", "Passivo - longo prazo", "Patrimônio Líquido", "Passivo e Patrimônio Líquido", "Imobilizado", "Contas a receber"]
 
@@ -33,9 +33,9 @@ def _any(t: str, phrases) -> str:
     return "(" + " or ".join(_has(t, p) for p in phrases) + ")"
 
 
-_W = balance.WORDS
+_SECTIONS_BY_WORDS = (("patrimonio_liquido", balance.EQUITY), ("ativo_circulante", balance.CURRENT_ASSETS), ("ativo_nao_circulante", balance.NON_CURRENT_ASSETS), ("passivo_circulante", balance.CURRENT_CLAIMS), ("passivo_nao_circulante", balance.NON_CURRENT_CLAIMS))
 _NON_CURRENT = f"case when {_any('o', balance.INTANGIBLE)} then 'intangivel' when {_any('o', balance.FIXED)} then 'imobilizado' when {_any('o', balance.INVESTMENTS)} then 'investimentos' when {_any('o', balance.LONG_TERM)} then 'realizavel_lp' else 'ativo_nao_circulante' end"
-_ROWS = f"""l0 as (select p_partkey, {_sql_choose(_LABELS, 'p_partkey')} as label, {_sql_choose(_SECTIONS, '(p_partkey // 33)')} as section from part),
+_ROWS = f"""l0 as (select p_partkey, {_sql_choose(_LABELS, 'p_partkey')} as label, {_sql_choose(_SECTIONS, '(p_partkey // 39)')} as section from part),
 d as (select distinct label, section, {_sql_tokens('label')} as o, {_sql_tokens('section')} as s from l0),
 a as (select *, list_contains(o, 'passivo') or list_contains(s, 'passivo') as claims, list_contains(o, 'ativo') or list_contains(s, 'ativo') as assets,
   {_any('o', ('nao circulante', 'longo prazo', 'permanente'))} as late, {_any('s', ('nao circulante', 'longo prazo', 'permanente'))} as s_late, {_has('o', 'patrimonio liquido')} as equity from d),
@@ -50,14 +50,14 @@ e as (select *, case when list_contains(s, 'circulante') then null {' '.join(f"w
     when list_contains(s, 'passivo') and list_contains(s, 'circulante') then 'passivo_circulante' when not list_contains(s, 'passivo') and {_has('s', 'patrimonio liquido')} then 'patrimonio_liquido' end as declared,
   case when {_any('o', balance.RESULT)} and not {_any('o', balance.NOT_RESULT)} then null when list_contains(o, 'adiantamento') and list_contains(o, 'cliente') then 'passivo_circulante' when {_any('o', balance.DEFERRED)} then 'passivo_circulante'
     when {_any('o', balance.TAXES)} and {_any('o', balance.OWED)} then 'passivo_circulante'
-    when {_any('o', _W['loans'])} and list_has_any(o, ['receber', 'concedido']) then case when {_any('o', ('longo prazo', 'nao circulante'))} then 'realizavel_lp' else 'ativo_circulante' end
-    when {_any('o', _W['loans'])} then case when {_any('o', ('longo prazo', 'nao circulante'))} then 'passivo_nao_circulante' else 'passivo_circulante' end
-    {' '.join(f"when {_any('o', p)} then {_NON_CURRENT if k == 'ativo_nao_circulante' else repr(k)}" for k, p in _W.items() if k != 'loans')} end as worded from c),
+    when {_any('o', balance.LOANS)} and list_has_any(o, ['receber', 'concedido']) then case when {_any('o', ('longo prazo', 'nao circulante'))} then 'realizavel_lp' else 'ativo_circulante' end
+    when {_any('o', balance.LOANS)} then case when {_any('o', ('longo prazo', 'nao circulante'))} then 'passivo_nao_circulante' else 'passivo_circulante' end
+    {' '.join(f"when {_any('o', p)} then {_NON_CURRENT if k == 'ativo_nao_circulante' else repr(k)}" for k, p in _SECTIONS_BY_WORDS)} end as worded from c),
 r as (select label, section, anchor, case when anchor is null then coalesce(sub, declared, worded) end as found from e)"""
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").withColumn("_k", F.floor(F.col("p_partkey") / 33)).select("p_partkey", _choose(_LABELS, "p_partkey").alias("label"), _choose(_SECTIONS, "_k").alias("section"))
+    return read(spark, sf_dir, "part").withColumn("_k", F.floor(F.col("p_partkey") / 39)).select("p_partkey", _choose(_LABELS, "p_partkey").alias("label"), _choose(_SECTIONS, "_k").alias("section"))
 
 
 def _known(lines: DataFrame, *columns) -> DataFrame:

@@ -60,14 +60,21 @@ def role_in_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with d as (select {_CASE} as case_id, o_orderkey as doc, o_orderdate, md5(cast(cast(o_totalprice / 5000 as bigint) as varchar)) as digest from orders),
-f as (select case_id, digest, doc as first_doc, row_number() over (partition by case_id order by o_orderdate, doc) as version from (select *, row_number() over (partition by case_id, digest order by o_orderdate, doc) r from d) where r = 1)
-select case_id, digest, doc, first_doc, cast(version as integer) as version, doc <> first_doc as repeated from d join f using (case_id, digest)""")
+with d as (select {_CASE} as case_id, o_orderkey as doc, o_orderdate, case when o_orderkey % 11 = 0 then null when o_orderkey % 11 = 1 then ' ' else md5(cast(cast(o_totalprice / 5000 as bigint) as varchar)) end as digest,
+  o_orderkey % 13 = 0 as human, {_sql_choose(_ROLES, 'o_orderkey')} as kind, case when o_orderkey % 3 > 0 then o_custkey end as entity from orders),
+g as (select *, coalesce('=' || nullif(trim(digest), ''), '#' || doc) as content from d),
+v as (select *, row_number() over w as version, min(case when human then n end) over w as first_human, max(case when entity is not null then n end) over w as last_entity from (select *, row_number() over (partition by case_id, content order by o_orderdate, doc) as n from g) window w as (partition by case_id, content order by n)),
+e as (select v.*, x.entity as filled from v left join v x on x.case_id = v.case_id and x.content = v.content and x.n = v.last_entity)
+select e.case_id, e.digest, e.doc, o.doc as document, cast(e.version as integer) as version, e.version > 1 as repeated, coalesce(h.kind, e.kind) as kind, case when h.n is not null then h.filled else e.filled end as entity
+from e join v o on o.case_id = e.case_id and o.content = e.content and o.n = 1 left join e h on h.case_id = e.case_id and h.content = e.content and h.n = e.first_human""")
 def documents_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a case with prices in the same step of 5,000 count as the same content."""
+    """Orders of a case with prices in the same step of 5,000 count as the same content; some have no digest, some come from a human."""
     step = F.round(F.col("o_totalprice").cast("double") / 5000).cast("long")
-    docs = _orders(spark, sf_dir).select("case_id", F.col("o_orderkey").alias("doc"), "o_orderdate", F.md5(step.cast("string").cast("binary")).alias("digest"))
-    return cases.registered(docs, "case_id", "digest", [F.col("o_orderdate")], "doc")
+    k = F.col("o_orderkey")
+    digest = F.when(k % 11 == 0, None).when(k % 11 == 1, " ").otherwise(F.md5(step.cast("string").cast("binary")))
+    docs = read(spark, sf_dir, "orders").withColumn("digest", digest).withColumn("kind", _choose(_ROLES, "o_orderkey")).withColumn("entity", F.when(k % 3 > 0, F.col("o_custkey")))
+    docs = docs.select(F.floor(F.col("o_custkey") / 10).alias("case_id"), k.alias("doc"), "o_orderdate", "digest", "kind", "entity")
+    return cases.registered(docs, "case_id", "digest", [F.col("o_orderdate")], "doc", F.col("doc") % 13 == 0, replaced=["kind"], filled=["entity"])
 
 
 @query("""

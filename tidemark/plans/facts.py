@@ -119,17 +119,6 @@ def modelling_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("_w", last).join(shared, ["p_brand", "_w"], "left").select(*g.columns, F.coalesce("overlaps", F.lit(False)).alias("overlaps"))
 
 
-@query("""
-with o as (select p_brand, p_name, l_returnflag, count(*) v from lineitem join part on l_partkey = p_partkey group by 1, 2, 3),
-p as (select a.p_brand, a.p_name label_a, b.p_name label_b, count(*) n_equal, max(abs(a.v)) as value from o a join o b on a.p_brand = b.p_brand and a.l_returnflag = b.l_returnflag and a.v = b.v and a.p_name < b.p_name group by 1, 2, 3),
-d as (select distinct a.p_brand, a.p_name label_a, b.p_name label_b from o a join o b on a.p_brand = b.p_brand and a.l_returnflag = b.l_returnflag and a.v <> b.v and a.p_name < b.p_name)
-select p.p_brand, p.label_a, p.label_b, p.n_equal, p.value from p where (n_equal >= 2 or split_part(label_a, ' ', 2) = split_part(label_b, ' ', 2) and false) and not exists (select 1 from d where d.p_brand = p.p_brand and d.label_a = p.label_a and d.label_b = p.label_b)""")
-def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.groupBy("p_brand", "p_name", "l_returnflag").agg(F.count("*").alias("v"))
-    return recon.duplicate_pairs(rows, "p_brand", "p_name", ["l_returnflag"], "v").select("p_brand", "label_a", "label_b", "n_equal", "value")
-
-
 _MONTHLY = """with m as (select o_orderpriority as serie, cast(date_trunc('month', o_orderdate) as date) as d, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'taxa' else 'nivel' end as nature,
   case when o_orderpriority in ('1-URGENT', '2-HIGH') then count(*) / 1000.0 else cast(sum(cast(o_totalprice as decimal(18,2))) as double) end as v from orders group by 1, 2),
 y as (select serie, nature, cast(year(d) as integer) as year, count(*) as months, (exp(sum(ln(1 + v / 100))) - 1) * 100 as rate, arg_max(v, d) as last_v from m group by all),

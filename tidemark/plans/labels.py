@@ -236,20 +236,21 @@ _FILES = [("13_Balancete_Analítico", "BALANCETE"), ("DRE", "DRE"), ("Faturament
 
 
 @query(f"""
-with n as (select o_orderkey, {_sql_choose([k for _, k in _FILES], 'o_orderkey')} as kind, year(o_orderdate) + 30 as y, right(cast(year(o_orderdate) + 30 as varchar), 2) as yy, (o_orderkey // 5) % 7 as k, quarter(o_orderdate) as q, (o_orderkey // 35) % 2 = 0 as signed from orders),
+with n as (select o_orderkey, {_sql_choose([k for _, k in _FILES], 'o_orderkey')} as kind, year(o_orderdate) + 30 as y, right(cast(year(o_orderdate) + 30 as varchar), 2) as yy, (o_orderkey // 5) % 10 as k, quarter(o_orderdate) as q, (o_orderkey // 50) % 2 = 0 as signed from orders),
 p as (select *, case k when 0 then '12M' || yy when 1 then 'L24M' when 2 then q || 'T' || yy when 3 then cast(y as varchar) when 4 then yy || ',' || right(cast(y + 1 as varchar), 2) || ',' || right(cast(y + 2 as varchar), 2)
-  when 5 then 'L36M' end as ref from n)
+  when 5 then 'L36M' when 7 then yy || ',' || right(cast(y + 1 as varchar), 2) || ',' || right(cast(y + 2 as varchar), 2) when 8 then 'L36M' when 9 then yy || ',' || right(cast(y + 1 as varchar), 2) end as ref from n)
 select o_orderkey, nullif(kind, '') as type, ref as period, case when signed then true end as signed,
   round((case when kind <> '' then 0.6 else 0 end) + (case when ref is null then 0 when k = 3 then 0.05 else 0.3 end) + (case when signed then 0.1 else 0 end), 2) as confidence,
   kind = '' or round(0.6 + (case when ref is null then 0 when k = 3 then 0.05 else 0.3 end) + (case when signed then 0.1 else 0 end), 2) < 0.7 as ask from p""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What names in seven notations say of a file."""
-    d, k = F.col("o_orderdate"), F.floor(F.col("o_orderkey") / 5) % 7
+    """What names in ten notations say of a file."""
+    d, k = F.col("o_orderdate"), F.floor(F.col("o_orderkey") / 5) % 10
     y = F.year(d) + 30
     y2 = F.right(y.cast("string"), F.lit(2))
-    notations = [F.concat(F.lit("12M"), y2), F.lit("L24M"), F.concat(F.quarter(d).cast("string"), F.lit("T"), y2), y.cast("string"), F.concat(y.cast("string"), F.lit(" a "), (y + 2).cast("string")), F.lit("36 meses"), F.lit("")]
+    notations = [F.concat(F.lit("12M"), y2), F.lit("L24M"), F.concat(F.quarter(d).cast("string"), F.lit("T"), y2), y.cast("string"), F.concat(y.cast("string"), F.lit(" a "), (y + 2).cast("string")), F.lit("36 meses"), F.lit(""),
+        F.concat(y2, F.lit(", "), F.right((y + 1).cast("string"), F.lit(2)), F.lit(" e "), F.right((y + 2).cast("string"), F.lit(2))), F.lit("36meses"), F.concat(y.cast("string"), F.lit("-"), (y + 1).cast("string"))]
     rows = read(spark, sf_dir, "orders").withColumn("word", _choose([w for w, _ in _FILES], "o_orderkey"))
-    signed = F.when(F.floor(F.col("o_orderkey") / 35) % 2 == 0, F.lit("_assinado")).otherwise("")
+    signed = F.when(F.floor(F.col("o_orderkey") / 50) % 2 == 0, F.lit("_assinado")).otherwise("")
     name = F.concat(F.col("word"), F.lit("_"), F.element_at(F.array(*notations), (k + 1).cast("int")), signed, F.lit(".pdf"))
     c = files.classify_name(name).alias("c")
     return rows.select("o_orderkey", c).select("o_orderkey", "c.type", F.col("c.period.ref").alias("period"), "c.signed", "c.confidence", "c.ask")

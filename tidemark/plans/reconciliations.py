@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reconcile
+from ..functions import roles
+from ..operators import duplicates, reconcile
 from ..operators.standard_checks import CHECKS, with_tolerance
 from .labels import _choose, _sql_choose, _sql_normal, _sql_tokens
 from .registry import query, read
@@ -238,3 +239,49 @@ def recon_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = tried.select(*_KEYS).distinct().withColumn("entity_name", _name(F.col("entity_id")))
     results = reconcile.reconciled(_lines(spark, sf_dir), documents, targets, _CHECKS)
     return reconcile.first_met(tried, results).select("case_id", "doc_id", "doc_type", "entity_id", "check", "ref", *_VERDICT)
+
+
+# --- pairs of labels --------------------------------------------------------------------
+
+_ACCOUNTS = [
+    "Capital social", "Capital social subscrito", "Prejuízos acumulados", "Resultados acumulados", "Reservas de lucros", "Empréstimos e financiamentos", "Financiamentos FINAME",
+    "Obrigações tributárias", "Parcelamentos tributários", "Partes relacionadas", "Mútuos a pagar", "Total do passivo", "Veículos", "Veículos e empilhadeiras",
+]
+_CANONICAL = ["passivo_circulante", "patrimonio_liquido", "NAO_CLASSIFICAVEL", "", "patrimonio_liquido"]
+_SUBS = ["Patrimônio líquido", "", "Empréstimos e financiamentos", "Partes relacionadas", "Imobilizado", "Obrigações tributárias"]
+_SCOPE = "cast(floor(l_suppkey / 2) as bigint)"
+#: A line's value follows its column and one of four amounts by label, so that labels agree; one line in 97 is off by one.
+_DUP = f"""l as (select {_SCOPE} as scope, nullif({_sql_choose(_CANONICAL, 'l_suppkey')}, '') as section, {_sql_choose(_ACCOUNTS, 'l_partkey')} as label, case when l_returnflag = 'A' and l_linenumber = 1 then null else l_returnflag end as ec, 2020 + l_linenumber % 3 as pc,
+  {_sql_choose(_SUBS, 'l_partkey')} as sub, (l_partkey % 14 // 2 % 4) * 500 * (1 + l_linenumber % 3) + case when l_orderkey % 97 = 0 then 1 else 0 end as v from lineitem),
+one as materialized (select scope, section, {_sql_normal('label')} as key, ec, pc, min(label) as shown, max(v) as v, list(distinct {_sql_normal('sub')}) as subs from l
+  where v <> 0 and section is not null and section <> 'NAO_CLASSIFICAVEL' and label not like 'Total%' and ec is not null group by scope, section, key, ec, pc having count(distinct v) = 1),
+pr as (select a.scope, a.section, a.key as ka, b.key as kb, min(a.shown) as label_a, min(b.shown) as label_b, count(*) as n_columns, max(abs(a.v)) as value, bool_or(list_contains(b.subs, a.key) or list_contains(a.subs, b.key)) as subtotal_of,
+  bool_or(list_has_any(a.subs, b.subs)) as same_sub, bool_or(len(list_filter(list_concat(a.subs, b.subs), lambda s: s <> '')) > 0) as has_sub from one a join one b on a.scope = b.scope and a.section = b.section and a.ec = b.ec and a.pc = b.pc and a.v = b.v and a.key < b.key group by all),
+dc as (select distinct a.scope, a.section, a.key as ka, b.key as kb from one a join one b on a.scope = b.scope and a.section = b.section and a.ec = b.ec and a.pc = b.pc and a.v <> b.v and a.key < b.key),
+rd as (select *, list_has_all({_sql_tokens('label_b')}, {_sql_tokens('label_a')}) or list_has_all({_sql_tokens('label_a')}, {_sql_tokens('label_b')}) as common_radical from pr),
+pairs as materialized (select scope, section, label_a, label_b, n_columns, value, common_radical from rd where same_sub and not subtotal_of and (n_columns >= 2 or has_sub and common_radical)
+  and not exists (select 1 from dc where dc.scope = rd.scope and dc.section = rd.section and dc.ka = rd.ka and dc.kb = rd.kb))"""
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = lambda c: F.col(c)
+    amount = F.floor(k("l_partkey") % 14 / 2) % 4 * 500 * (1 + k("l_linenumber") % 3) + F.when(k("l_orderkey") % 97 == 0, 1).otherwise(0)
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.floor(k("l_suppkey") / 2).alias("scope"), F.nullif(_choose(_CANONICAL, "l_suppkey"), F.lit("")).alias("section"), _choose(_ACCOUNTS, "l_partkey").alias("label"),
+        F.when((k("l_returnflag") != "A") | (k("l_linenumber") != 1), k("l_returnflag")).alias("ec"), (2020 + k("l_linenumber") % 3).alias("pc"), _choose(_SUBS, "l_partkey").alias("sub"), amount.alias("v"),
+    )
+    return rows.where(roles.line_role(F.col("label")) == "conta")
+
+
+@query(f"with {_DUP} select * from pairs")
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.pairs(_accounts(spark, sf_dir), ["scope"], "section", "label", ["ec", "pc"], "v", "sub")
+
+
+@query(f"""with {_DUP}, sums as (select scope, count(*) as n, sum(value) as doubled from pairs group by 1)
+select t.scope, case when n is null then 'ok' else 'divergent' end as verdict, coalesce(n, 0) as n_pairs, cast(coalesce(doubled, 0) as bigint) as doubled from (select distinct {_SCOPE} as scope from lineitem) t left join sums using (scope)""")
+def recon_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per scope whether labels were found twice, and the sum that is counted twice."""
+    lines = _accounts(spark, sf_dir)
+    scopes = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_suppkey") / 2).alias("scope"))
+    return duplicates.reconciled(duplicates.pairs(lines, ["scope"], "section", "label", ["ec", "pc"], "v", "sub"), scopes, ["scope"])
