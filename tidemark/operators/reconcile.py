@@ -124,8 +124,9 @@ def aggregated(lines: DataFrame, checks: Sequence[Check]) -> DataFrame:
     # a function of one argument each: a second one would be the element's index
     by_year = lambda k: F.transform(_named_years(F.col("_label")), lambda y: hit(k, y))
     found = [F.when(_matched(s), by_year(k) if s.kind == "year" else F.array(hit(k, none))) for k, s in enumerate(known)]
+    # outer below: every line has a hit, and Spark would look for them twice to drop lines without any
     hits = F.flatten(F.array_compact(F.array(F.array(hit(EVERY, none)), *found)))
-    rows = rows.select("doc_id", "entity", "period", "unit", "label", "value", "confidence", F.inline(hits))
+    rows = rows.select("doc_id", "entity", "period", "unit", "label", "value", "confidence", F.inline_outer(hits))
     longest = F.col("strategy").isin(*[k for k, s in enumerate(known) if s.kind == "structure"], -2)
     line = F.struct(
         (-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.when(longest, -F.length("label")).otherwise(F.length("label")).alias("l"), F.coalesce("label", F.lit("")).alias("label"), "value", F.coalesce("unit", F.lit("")).alias("unit"),
@@ -306,7 +307,8 @@ def reconciled(lines: DataFrame, documents: DataFrame, targets: DataFrame, check
         there = F.forall(check["sides"], lambda side: doc_of(side).isNotNull())
         return _bound(compared, lambda ys: _verdict(check, there, ys))
 
-    return rows.select(*keys, F.inline(F.transform(every, result)))
+    # outer: Spark would work the rows out a second time to drop targets without any
+    return rows.select(*keys, F.inline_outer(F.transform(every, result)))
 
 
 def by_document(documents: DataFrame, periods: DataFrame, takes: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def over_years(df: DataFrame, keys: Sequence[str], year: str, start: Column, sta
         return let(step(a["state"], x).cast(state), lambda s: F.struct(s.alias("state"), F.concat(a["seen"], F.array(F.struct(x[year].alias(year), s.alias("state")))).alias("seen")))
 
     begin = F.struct(start.cast(state).alias("state"), F.array().cast(f"array<struct<`{year}`: {kind}, state: {state}>>").alias("seen"))
-    return rows.select(*keys, F.inline(F.aggregate("_rows", begin, after)["seen"])).select(*keys, year, "state.*")
+    # outer: no key is without years, and Spark would fold twice to drop such keys
+    return rows.select(*keys, F.inline_outer(F.aggregate("_rows", begin, after)["seen"])).select(*keys, year, "state.*")
 
 
 def total(numbers: Column) -> Column:

@@ -6,6 +6,8 @@ everything happens within its row, without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def _whole(c: Column) -> Column:
     return F.when(n == F.floor(n), n.try_cast("int"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def expectations(df: DataFrame, payload: str) -> DataFrame:
     """A row a reference year of the newest collection in each payload.
 
@@ -30,17 +37,22 @@ def expectations(df: DataFrame, payload: str) -> DataFrame:
     unreadable and empty payloads give no rows. The new columns are year, median, mean,
     respondents and collected; columns of df with these names are replaced.
     """
-    items = F.coalesce(F.from_json(F.col(payload), EXPECTATION)["value"], F.array().cast("array<struct<Data: string, DataReferencia: string, Mediana: string, Media: string, numeroRespondentes: string, baseCalculo: string>>"))
-    newest = F.array_max(F.transform(items, lambda i: i["Data"]))
     basis = lambda i: i["baseCalculo"].isNull() | (i["baseCalculo"].try_cast("double") == BASIS)
-    kept = F.filter(items, lambda i: (i["Data"] == newest) & basis(i) & _whole(i["DataReferencia"]).isNotNull() & locale_number(i["Mediana"]).isNotNull())
-    years = F.transform(kept, lambda i: _whole(i["DataReferencia"]))
-    # bound once: the array is an element of an array, not spelled out wherever it is used
-    first = F.transform(
-        F.array(F.struct(kept.alias("kept"), years.alias("years"))),
-        lambda b: F.filter(b["kept"], lambda i, at: F.array_position(b["years"], _whole(i["DataReferencia"])) == at + 1),
-    )[0]
-    one = df.withColumn("_i", F.explode(first))
+
+    def kept(items: Column) -> Column:
+        newest = F.array_max(F.transform(items, lambda i: i["Data"]))
+        usable = lambda i, d: (i["Data"] == d) & basis(i) & _whole(i["DataReferencia"]).isNotNull() & locale_number(i["Mediana"]).isNotNull()
+        return _bound(newest, lambda d: F.filter(items, lambda i: usable(i, d)))
+
+    def firsts(rows: Column) -> Column:
+        # by year and place, so that the first of a year comes after one of another year
+        placed = F.array_sort(F.transform(rows, lambda i, at: F.struct(_whole(i["DataReferencia"]).alias("year"), at.alias("at"))))
+        begin = _bound(placed, lambda p: F.filter(p, lambda x, at: (at == 0) | (F.get(p, at - 1)["year"] != x["year"])))
+        return F.transform(begin, lambda x: F.get(rows, x["at"]))
+
+    first = _bound(F.from_json(F.col(payload), EXPECTATION)["value"], lambda items: _bound(kept(items), firsts))
+    # outer, and then without the empty ones: else Spark reads the payload twice to drop these
+    one = df.withColumn("_i", F.explode_outer(first)).where("_i is not null")
     return one.withColumns({
         "year": _whole(F.col("_i.DataReferencia")),
         "median": locale_number(F.col("_i.Mediana")),
