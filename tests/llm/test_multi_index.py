@@ -87,3 +87,12 @@ def test_more_cells_until_the_recall_holds(monkeypatch):
     x = multi_index.unit(rng.normal(size=(3000, 4)))
     index = multi_index.Index(x, np.array(["a"] * len(x)), 0.9, 40, 0.999)
     assert index.visits > 8 and index.recall >= 0.999
+
+
+def test_doubles_are_not_rounded(spark):
+    # 1e300 is infinite as a float; the third vector equals the first one only when rounded to floats
+    rows = [(1, [1e300, 1e300, 0.0], "x"), (2, [1e300, 1.0001e300, 0.0], "x"), (3, [1.0, 2.0, 3.0], "x"), (4, [1.0, 2.0, 3.0 + 1e-12], "x"), (5, [-1.0, 2.0, 3.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_duplicates(df, threshold=1 - 1e-6).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+    assert {r.vec_id: r.n_links for r in multi_index.near_duplicates(df, threshold=1 - 1e-10).collect()} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0}

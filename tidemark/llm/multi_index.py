@@ -171,6 +171,11 @@ class Index:
             tried = min(4 * tried, every)
 
 
+def _kind(vectors: DataFrame, embedding: str) -> str:
+    """Floats stay floats; all other numbers are doubles, so that nothing is rounded."""
+    return "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
+
+
 def _described(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, digest): what equal vectors have in common, null for unusable ones."""
 
@@ -196,7 +201,7 @@ def _placed(vectors: DataFrame, index: Index) -> DataFrame:
             column = pa.ListArray.from_arrays(offs, pa.array(cells.astype(np.int32).ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=["vec_id", "label", "members", "embedding", "cells"])
 
-    return vectors.mapInArrow(run, "vec_id long, label string, members long, embedding array<float>, cells array<int>")
+    return vectors.mapInArrow(run, f"vec_id long, label string, members long, embedding {dict(vectors.dtypes)['embedding']}, cells array<int>")
 
 
 class _Block:
@@ -313,7 +318,7 @@ def near_duplicates(
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "multi_index")
-    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<float>").alias("embedding"))
+    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(_kind(vectors, embedding)).alias("embedding"))
     rows = scratch.save(_described(source), "rows")
     usable = rows.where("digest is not null and label is not null and vec_id is not null")
     heads = scratch.save(usable.groupBy("label", "digest").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("members")), "heads")
