@@ -88,7 +88,7 @@ def _most_repeated(found: Column, part: float, floor: float) -> Column:
         count = F.when(same & (last["l"] == x["l"]), state["n"]).when(same, state["n"] + 1).otherwise(1)
         return let(count, lambda n: F.struct(x.alias("last"), n.alias("n"), F.greatest(state["most"], F.struct(n.alias("n"), F.abs(x["v"]).alias("size"), x["v"].alias("value"))).alias("most")))
 
-    return F.aggregate(material(F.greatest(top * part, F.lit(floor))), start, step, lambda s: s["most"])
+    return F.aggregate(let(F.greatest(top * part, F.lit(floor)), material), start, step, lambda s: s["most"])
 
 
 def guards(found: Column, least: int = 4, part: float = 0.01, floor: float = 1.0, below: float = 0.7, least_low: int = 3, part_low: float = 0.3) -> Column:
@@ -139,9 +139,13 @@ def registered(payloads: DataFrame, versions: DataFrame, dial: Column, limit: Co
     rows = rows.withColumn("n_sure", F.size(F.filter("_read", sure)))
     outcome = F.when(F.col("document").isNull(), "orphan").when((F.col("n_sure") > 0) & quiet, "accepted").when(F.col("n_sure") > 0, "withheld").otherwise("pending")
     rows = rows.withColumn("outcome", outcome)
-    taken = lambda x: (F.col("outcome") == "accepted") & sure(x)
-    state = lambda x: (F.when(taken(x), "accepted").otherwise("pending").alias("status"), F.when(taken(x), "system").alias("accepted_by"))
-    kept = F.transform(F.filter("_read", lambda x: F.col("document").isNotNull()), lambda x: F.struct(*(x[n].alias(n) for n in KEYS.values()), *state(x)))
+
+    def line(x: Column, all_sure: Column) -> Column:
+        taken = all_sure & sure(x)
+        return F.struct(*(x[n].alias(n) for n in KEYS.values()), F.when(taken, "accepted").otherwise("pending").alias("status"), F.when(taken, "system").alias("accepted_by"))
+
+    # the outcome is bound once a version, else Spark would work the guards out again for every line
+    kept = let(F.struct((F.col("outcome") == "accepted").alias("accepted"), F.when(F.col("outcome") == "orphan", F.slice("_read", 1, 0)).otherwise(F.col("_read")).alias("read")), lambda v: F.transform(v["read"], lambda x: line(x, v["accepted"])))
     return rows.select("version", "document", "case_id", "failure", kept.alias("lines"), g.alias("guards"), "n_sure", "outcome").withColumn("stamp", stamp(F.col("lines")))
 
 
@@ -152,7 +156,7 @@ def stamp(found: Column) -> Column:
 
 def published(old: DataFrame, new: DataFrame) -> DataFrame:
     """The old versions and those new ones that are not there yet: a rerun changes nothing."""
-    return insert_missing(old, new.where("outcome <> 'orphan'"), ["version"])
+    return insert_missing(old, new.where("document is not null"), ["version"])
 
 
 def _said(df: DataFrame, *verdicts: tuple[str, Column]) -> DataFrame:
