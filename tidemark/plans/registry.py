@@ -28,7 +28,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import balance, cases, checks, facts, groups, histories, labels, macro_sheets, matches, model, reconciliations, registrations  # noqa: F401  the modules register themselves
+    from . import balance, cases, checks, facts, groups, histories, labels, linking, macro_sheets, matches, model, reconciliations, registrations  # noqa: F401  the modules register themselves
 
     return dict(_QUERIES)
 
