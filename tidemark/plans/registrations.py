@@ -22,7 +22,8 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _payloads(spark: SparkSession, sf_dir: str, earlier: bool = False) -> DataFrame:
     """JSON as an extraction gives it: some numbers unreadable, labels missing, values repeated, calls failed.
 
-    Earlier, every seventh order was less sure.
+    Earlier, every seventh order was less sure. A line's source names its supplier, by whom it is
+    sure: lines that exchange their confidences are not the same lines.
     """
     part, supp, k, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")
     text = lambda c: c.cast("string")
@@ -31,7 +32,7 @@ def _payloads(spark: SparkSession, sf_dir: str, earlier: bool = False) -> DataFr
     value = F.when((k % 5 == 0) & (n < 6), "1000").when(part % 11 == 0, "12,5").when(part % 11 == 1, F.concat(F.lit("-"), units)).otherwise(F.concat(units, F.lit("00.5")))
     sure = F.when(part % 17 == 0, "alta").otherwise(F.concat(F.lit("0."), text(F.when((k % 4 == 0) | (F.lit(earlier) & (k % 7 == 0)), supp % 70 + 30).otherwise(supp % 20 + 80))))
     page = F.concat(text(n), F.when(part % 3 == 0, "a").otherwise(""))
-    item = F.struct(label.alias("chave"), value.alias("valor_num"), sure.alias("confianca"), page.alias("origem_pagina"), F.when(F.col("l_returnflag") == "R", "A").alias("entidade_coluna"))
+    item = F.struct(label.alias("chave"), value.alias("valor_num"), sure.alias("confianca"), page.alias("origem_pagina"), F.when(F.col("l_returnflag") == "R", "A").alias("entidade_coluna"), text(supp).alias("origem_linha"))
     items = read(spark, sf_dir, "lineitem").groupBy(k.alias("version")).agg(F.to_json(F.sort_array(F.collect_list(item))).alias("payload"))
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version"), F.when(F.col("o_orderkey") % 19 == 0, "timeout").alias("failure"))
     return orders.join(items, "version", "left")
