@@ -170,3 +170,30 @@ def test_pairs_against_brute_force(spark):
     verdicts = duplicates.reconciled(found, spark.createDataFrame(rows, PAIR), ["scope"]).collect()
     assert {r.scope: r.n_pairs for r in verdicts} == {s: sum(w[0] == s for w in want) for s in {r[0] for r in rows}}
     assert duplicates.pairs(spark.createDataFrame([], PAIR), ["scope"], "section", "label", ["ec", "pc"], "v", "sub").count() == 0
+
+
+def test_a_line_is_in_one_cell_whatever_the_number_of_checks(spark):
+    lines = [line("bp", "Caixa e equivalentes de caixa", 5, "Ativo"), line("bp", "Total do Ativo", 7, "Ativo"), line("bp", "Total do Passivo e Patrimônio Líquido", 7, "Passivo"), line("bp", "Jan/24 juros", 9, "Disponível"), line("bp", "nada", 1)]
+    facts = spark.createDataFrame([(d, s, x, e, p, float(v), u, c) for d, s, x, e, p, v, u, c in lines], LINE)
+    cells = reconcile.aggregated(facts, CHECKS).first().cells
+    assert sum(c.n for c in cells) == 4 == len(cells)
+
+
+def test_more_strategies_than_bits_of_a_long(spark, monkeypatch):
+    lines = [line("bp", "ATIVO", 1000), line("bp", "Total do Passivo", 600), line("bp", "Patrimônio Líquido", 200), line("bp", "Caixa e bancos", 2, unit="R$ mil"), line("dfc", "Saldo final do período", 2000, unit="R$"), line("dre", "Receita bruta", 900_000), line("fat", "Jan/24", 1), line("dre", "Despesa financeira", -9), line("map", "Juros", 9)]
+    facts = spark.createDataFrame([(d, s, x, e, p, float(v), u, c) for d, s, x, e, p, v, u, c in lines], LINE)
+    import datetime as dt
+
+    documents = spark.createDataFrame([(*d[:5], dt.datetime(2025, 1, d[5])) for d in DOCS], DOC)
+    targets = spark.createDataFrame([(1, 1, "Alfa", "2024")], "case_id int, entity_id int, entity_name string, ref string")
+    monkeypatch.setattr(reconcile, "WORD", 5)
+    got = {r.check: (r.verdict, r.worst_gap) for r in reconcile.reconciled(facts, documents, targets, CHECKS).collect()}
+    assert got == {"assets_claims": ("divergent", 200), "cash": ("ok", None), "revenue_billing": ("grey", 899_999), "expense_interest": ("ok", None)}
+
+
+def test_structural_labels_as_words(spark):
+    labels = ["ATIVO", "Total do Ativo", "a", "Ativo a", "inativo", "ativo ativo", "Ativo circulante", "Átivo", "  ativo. ", "", None, "passivo / patrimônio líquido", "patrimonio-passivo", "passivopatrimonio", "total do ativo", "Ativo " * 5000]
+    rows = spark.createDataFrame([(x,) for x in labels], "label string")
+    for tokens in (("ativo",), ("passivo", "patrimonio"), ("a",), ("tivo",), ()):
+        wanted = F.array(*map(F.lit, sorted(tokens))) if tokens else F.array().cast("array<string>")
+        assert rows.where(text.is_structural(F.col("label"), tokens) != (text.structural_tokens(F.col("label")) == wanted)).count() == 0

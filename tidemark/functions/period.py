@@ -78,7 +78,11 @@ def equivalent(a: Column, b: Column) -> Column:
 
 def compatible(a: Column, b: Column) -> Column:
     """Whether two periods share a year; true where one of them names none."""
-    x, y = years(a), years(b)
+    return share_a_year(years(a), years(b))
+
+
+def share_a_year(x: Column, y: Column) -> Column:
+    """The same of the periods' years."""
     return F.when((F.size(x) == 0) | (F.size(y) == 0), True).otherwise(F.arrays_overlap(x, y))
 
 

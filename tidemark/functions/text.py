@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -36,8 +37,23 @@ def structural_tokens(c: Column, stopwords: Sequence[str] = STOPWORDS) -> Column
 
 def is_structural(c: Column, tokens: Sequence[str], stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Whether the structural tokens are exactly these."""
-    wanted = F.array(*map(F.lit, sorted(set(tokens)))) if tokens else F.array().cast("array<string>")
-    return structural_tokens(c, stopwords) == wanted
+    return normal_is_structural(normalize(c), tokens, stopwords)
+
+
+def normal_is_structural(plain: Column, tokens: Sequence[str], stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """The same of a normal form: it holds each token, and every word is a token or a stopword, found without cutting it into words."""
+    if set(tokens) & set(stopwords) or not all(re.fullmatch("[a-z0-9]+", t) for t in tokens):
+        return F.lit(False)
+    known = "|".join(sorted({*tokens, *stopwords}))
+    out = F.lit(True)
+    for t in sorted(set(tokens)):
+        out = out & plain.contains(t)
+    out = out & plain.rlike(rf"^[^a-z0-9]*+(?:(?:{known})(?![a-z0-9])[^a-z0-9]*+)*+\z")
+    # "a" occurs in "ativo", so a token that is in another word is looked for as a word
+    for t in sorted(set(tokens)):
+        if any(t in w and t != w for w in (*tokens, *stopwords)):
+            out = out & plain.rlike(rf"(?<![a-z0-9]){t}(?![a-z0-9])")
+    return out
 
 
 def radicals(c: Column, length: int = 5) -> Column:

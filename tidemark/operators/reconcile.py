@@ -25,12 +25,11 @@ from ..functions import period, text, units
 from .checks import Strategy
 from .pick import first_per_key
 
-#: What no column is named: the document has columns, but none for this entity or year.
-NONE = "\u0001"
 #: Kinds of strategies that add lines up; `lines` sums labels with any of the terms, `year` those that name the year.
 SUMS = ("sum", "lines", "year")
-EVERY = -1
-_CELL = "entity", "period", "strategy", "year", "unit"
+#: Bits of a long that are used.
+WORD = 60
+_CELL = "entity", "period", "unit", "hits", "years"
 
 
 @dataclass(frozen=True)
@@ -70,30 +69,80 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _matched(s: Strategy) -> Column:
-    """Whether a line, with its normal forms beside it, is one that the strategy looks for."""
-    label, section = F.col("_label"), F.col("_section")
-    holds = lambda c, terms: [c.contains(t) for t in terms]
-    lacks = lambda c, terms: [~c.contains(t) for t in terms]
+def _tests(s: Strategy) -> tuple[list[tuple[str, ...]], list[tuple[str, ...]], list[tuple[str, ...]]]:
+    """What a line that the strategy looks for has all of, none of and, if there is any, one of."""
+    holds = lambda where, terms: [(where, t) for t in terms]
+    valued, filed = ("valued",), ("filed",)
+    totals = [("begins", "total"), ("begins", "subtotal")]
     if s.kind == "structure":
-        tests = [F.col("_tokens") == F.array(*map(F.lit, sorted(s.include)))]
-    elif s.kind == "label":
-        tests = holds(label, s.include) + lacks(label, s.exclude)
-    elif s.kind == "section":
-        tests = [F.col("section").isNotNull(), *holds(section, s.include), *lacks(section, s.exclude), *lacks(label, s.exclude)]
-    elif s.kind == "sum":
-        tests = [F.col("section").isNotNull(), *holds(section, s.include), *lacks(section, s.exclude), *lacks(label, s.spared), label != section, ~label.startswith("total"), ~label.startswith("subtotal")]
-    elif s.kind == "lines":
-        any_of = F.lit(False)
-        for term in s.include:
-            any_of = any_of | label.contains(term)
-        tests = [any_of, ~label.startswith("total"), ~label.contains("total ")]
-    else:
-        tests = lacks(label, s.exclude)
-    out = F.col("value").isNotNull()
-    for t in tests:
-        out = out & t
-    return F.coalesce(out, F.lit(False))
+        return [valued, ("structure", *sorted(s.include))], [], []
+    if s.kind == "label":
+        return [valued, *holds("label", s.include)], holds("label", s.exclude), []
+    if s.kind == "section":
+        return [valued, filed, *holds("section", s.include)], holds("section", s.exclude) + holds("label", s.exclude), []
+    if s.kind == "sum":
+        return [valued, filed, *holds("section", s.include)], [*holds("section", s.exclude), *holds("label", s.spared), ("heading",), *totals], []
+    if s.kind == "lines":
+        return [valued], [totals[0], ("label", "total ")], holds("label", s.include) or [("never",)]
+    return [valued, ("digits",)], holds("label", s.exclude), []
+
+
+def _holds(test: tuple[str, ...]) -> Column:
+    """Whether a line, with its normal forms beside it, passes a test; never null."""
+    kind, *terms = test
+    label, section = F.col("_label"), F.col("_section")
+    if kind in ("label", "section"):
+        return F.col(f"_{kind}").contains(terms[0])
+    if kind == "begins":
+        return label.startswith(terms[0])
+    if kind == "structure":
+        return text.normal_is_structural(label, terms)
+    return {"valued": F.col("value").isNotNull(), "filed": F.col("section").isNotNull(), "heading": label == section, "digits": label.rlike("[0-9]{2}"), "never": F.lit(False)}[kind]
+
+
+def _packed(tests: Sequence[Column]) -> list[Column]:
+    """Tests as the bits of longs, `WORD` in each."""
+    words = []
+    for at in range(0, len(tests), WORD):
+        out = F.lit(0).cast("long")
+        for k, t in enumerate(tests[at : at + WORD]):
+            out = out.bitwiseOR(F.when(t, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+        words.append(out)
+    return words
+
+
+def _bit_of(words: Column, k: Column, n: int) -> Column:
+    """Whether bit k of n is set."""
+    if n <= WORD:
+        return F.getbit(F.get(words, F.lit(0)), k) == 1
+    return F.getbit(F.get(words, F.floor(k / WORD).cast("int")), (k % WORD).cast("int")) == 1
+
+
+def _with_hits(rows: DataFrame, known: Sequence[Strategy]) -> DataFrame:
+    """The rows with `hits`: a bit a strategy, in longs. Each term is looked for once a line, whatever the number of strategies."""
+    wanted = [_tests(s) for s in known]
+    tests = list(dict.fromkeys(t for every, none, some in wanted for t in (*every, *none, *some)))
+    rows = rows.select("*", *(w.alias(f"_t{i}") for i, w in enumerate(_packed([_holds(t) for t in tests]))))
+
+    def masks(of: Sequence[tuple[str, ...]]) -> list[tuple[Column, Column]]:
+        places = [tests.index(t) for t in of]
+        found = [(i, sum(1 << (k % WORD) for k in set(places) if k // WORD == i)) for i in range(-(-len(tests) // WORD))]
+        return [(F.col(f"_t{i}").bitwiseAND(F.lit(m).cast("long")), F.lit(m).cast("long")) for i, m in found if m]
+
+    def hit(every: Sequence, none: Sequence, some: Sequence) -> Column:
+        out = F.lit(True)
+        for got, mask in masks(every):
+            out = out & (got == mask)
+        for got, _ in masks(none):
+            out = out & (got == 0)
+        if some:
+            one = F.lit(False)
+            for got, _ in masks(some):
+                one = one | (got != 0)
+            out = out & one
+        return out
+
+    return rows.withColumn("hits", F.array(*_packed([hit(*w) for w in wanted])))
 
 
 def _named_years(label: Column) -> Column:
@@ -108,38 +157,38 @@ def _strategies(checks: Sequence[Check]) -> list[Strategy]:
 
 
 def aggregated(lines: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """Per document: cells (what each strategy finds by columns and unit), its entity and period columns, its unit.
+    """Per document: cells (lines of the same columns and unit that the same strategies look for), its entity and period columns, its unit.
 
-    A cell has the number and sum of its lines and the best of them: most confidence (none counts
-    as 0), then the shortest label (the longest, for `structure`), then label, value and unit.
-    A document has as many cells as it has columns, units and strategies that find something.
+    A cell has the number and sum of its lines, the years that they name (where a strategy asks) and
+    the best of them: most confidence (none counts as 0), then the shortest label (`longest`: the
+    longest, for `structure`), then label, value and unit. A line is in one cell, however many
+    strategies look for it, so a document has at most as many cells as lines, and as many as its columns,
+    units and kinds of lines.
     """
     known = _strategies(checks)
     rows = lines.select(
         "doc_id", "section", "label", "value", F.nullif(F.trim("unit"), F.lit("")).alias("unit"), "confidence", F.col("entity_col").alias("entity"), F.col("period_col").alias("period"),
-        text.normalize(F.col("label")).alias("_label"), text.normalize(F.col("section")).alias("_section"), text.structural_tokens(F.col("label")).alias("_tokens"),
-    )
-    none = F.lit(None).cast("int")
-    hit = lambda k, y: F.struct(F.lit(k).alias("strategy"), y.alias("year"))
-    # a function of one argument each: a second one would be the element's index
-    by_year = lambda k: F.transform(_named_years(F.col("_label")), lambda y: hit(k, y))
-    found = [F.when(_matched(s), by_year(k) if s.kind == "year" else F.array(hit(k, none))) for k, s in enumerate(known)]
-    # outer below: every line has a hit, and Spark would look for them twice to drop lines without any
-    hits = F.flatten(F.array_compact(F.array(F.array(hit(EVERY, none)), *found)))
-    rows = rows.select("doc_id", "entity", "period", "unit", "label", "value", "confidence", F.inline_outer(hits))
-    longest = F.col("strategy").isin(*[k for k, s in enumerate(known) if s.kind == "structure"], -2)
-    line = F.struct(
-        (-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.when(longest, -F.length("label")).otherwise(F.length("label")).alias("l"), F.coalesce("label", F.lit("")).alias("label"), "value", F.coalesce("unit", F.lit("")).alias("unit"),
+        text.normalize(F.col("label")).alias("_label"), text.normalize(F.col("section")).alias("_section"),
     )
-    cells = rows.groupBy("doc_id", *_CELL).agg(F.count("*").alias("n"), F.sum("value").alias("sum"), F.min(F.when(F.col("strategy") != EVERY, line)).alias("best"))
-    one = cells.groupBy("doc_id").agg(F.collect_list(F.struct(*_CELL, "n", "sum", "best", text.normalize(F.col("entity")).alias("entity_key"), text.normalize(F.col("period")).alias("period_key"))).alias("cells"))
-    here = F.filter("cells", lambda c: c["strategy"] == EVERY)
-    one = one.withColumn("_every", here)
+    rows = _with_hits(rows, known)
+
+    def asked(*kinds: str) -> Column:
+        out = F.lit(False)
+        for i in range(-(-len(known) // WORD)):
+            mask = sum(1 << (k % WORD) for k, s in enumerate(known) if s.kind in kinds and k // WORD == i)
+            out = out | (F.get("hits", F.lit(i)).bitwiseAND(F.lit(mask).cast("long")) != 0) if mask else out
+        return out
+
+    rows = rows.select("doc_id", "entity", "period", "unit", "hits", F.when(asked("year"), _named_years(F.col("_label"))).alias("years"), "label", "value", "confidence")
+    by = lambda length: F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), length.alias("l"), F.coalesce("label", F.lit("")).alias("label"), "value")
+    best, longest = F.min(F.when(asked("label", "section"), by(F.length("label")))), F.min(F.when(asked("structure"), by(-F.length("label"))))
+    cells = rows.groupBy("doc_id", *_CELL).agg(F.count("*").alias("n"), F.sum("value").alias("sum"), best.alias("best"), longest.alias("longest"))
+    one = cells.groupBy("doc_id").agg(F.collect_list(F.struct(*_CELL, "n", "sum", "best", "longest")).alias("_every"))
     named = lambda field: F.array_distinct(F.transform(F.filter("_every", lambda c: c[field].isNotNull()), lambda c: c[field]))
-    count = lambda field, x: F.aggregate(F.filter("_every", lambda c: c[field] == x), F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    count = lambda field, x: F.aggregate("_every", F.lit(0).cast("long"), lambda a, c: F.when(c[field] == x, a + c["n"]).otherwise(a))
     periods = F.transform(named("period"), lambda p: F.struct((-count("period", p)).alias("n"), p.alias("period"), period.years_of_text(p).alias("years")))
     unit = F.array_min(F.transform(named("unit"), lambda u: F.struct((-count("unit", u)).alias("n"), u.alias("unit"))))["unit"]
-    return one.select("doc_id", F.filter("cells", lambda c: c["strategy"] != EVERY).alias("cells"), named("entity").alias("entities"), periods.alias("periods"), unit.alias("unit"))
+    return one.select("doc_id", F.filter("_every", lambda c: F.exists(c["hits"], lambda h: h != 0)).alias("cells"), named("entity").alias("entities"), periods.alias("periods"), unit.alias("unit"))
 
 
 def _roles(checks: Sequence[Check]) -> dict[tuple[tuple[str, ...], bool], str]:
@@ -154,26 +203,33 @@ def picked_documents(targets: DataFrame, documents: DataFrame, checks: Sequence[
     its own only, those of no entity. Periods have to share a year; one without years shares all.
     """
     roles = _roles(checks)
-    docs = documents.select("case_id", "doc_id", "doc_type", F.col("entity_id").alias("_entity"), F.col("ref").alias("_ref"), "created")
-    both = targets.select("case_id", "entity_id", "ref").distinct().join(docs, "case_id")
+    every = list(dict.fromkeys(x for types, _ in roles for x in types))
+    docs = documents.where(F.col("doc_type").isin(*every)).select("case_id", "doc_id", "doc_type", F.col("entity_id").alias("_entity"), F.col("ref").alias("_ref"), "created", period.years(F.col("ref")).alias("_of"))
+    # a period is read once a row, before targets and documents meet
+    both = targets.select("case_id", "entity_id", "ref").distinct().withColumn("_asked", period.years(F.col("ref"))).join(docs, "case_id")
     any_entity = F.col("entity_id").isNull() | (F.col("_entity") == F.col("entity_id"))
-    fits = F.col("ref").isNull() | F.col("_ref").isNull() | period.compatible(F.col("_ref"), F.col("ref"))
+    fits = F.col("ref").isNull() | F.col("_ref").isNull() | period.share_a_year(F.col("_of"), F.col("_asked"))
     taken = [F.when(F.col("doc_type").isin(*types) & F.coalesce(any_entity if own else any_entity | F.col("_entity").isNull(), F.lit(False)), F.struct(F.lit(role).alias("role"), F.array_position(F.array(*map(F.lit, types)), F.col("doc_type")).alias("place"))) for (types, own), role in roles.items()]
     rows = both.where(fits).select("case_id", "entity_id", "ref", "doc_id", "created", F.coalesce(F.col("_entity") == F.col("entity_id"), F.lit(False)).alias("owner"), F.inline(F.array_compact(F.array(*taken))))
     return first_per_key(rows, ["case_id", "entity_id", "ref", "role"], [F.col("place"), -F.unix_timestamp("created"), F.col("doc_id")]).select("case_id", "entity_id", "ref", "role", "doc_id", "owner")
 
 
 def _entity_column(doc: Column, name: Column) -> Column:
-    """The key of the column that names the entity, else, for the owner, of the totals; null for any, NONE for none."""
+    """The names of the column of the entity, else, for the owner, of the totals; null for any, empty for none."""
     own = F.array_min(F.filter(doc["entities"], lambda e: text.same_entity(e, name)))
     whole = F.when(doc["owner"], F.array_min(F.filter(doc["entities"], lambda e: text.normalize(e).rlike("^(combinad|consolidad|total|soma)"))))
-    return F.when(F.size(doc["entities"]) > 0, F.coalesce(text.normalize(F.coalesce(own, whole, F.lit(NONE))), F.lit(NONE)))
+    return F.when(F.size(doc["entities"]) > 0, _bound(F.coalesce(own, whole), lambda x: _alike(doc["entities"], x)))
 
 
 def _period_column(doc: Column, year: Column) -> Column:
-    """The key of the year's most frequent column; null for any, NONE for none."""
+    """The names of the year's most frequent column; null for any, empty for none."""
     best = F.array_min(F.filter(doc["periods"], lambda p: F.array_contains(p["years"], year)))["period"]
-    return F.when(year.isNotNull() & (F.size(doc["periods"]) > 0), F.when(best.isNull(), NONE).otherwise(text.normalize(best)))
+    return F.when(year.isNotNull() & (F.size(doc["periods"]) > 0), _bound(best, lambda x: _alike(F.transform(doc["periods"], lambda p: p["period"]), x)))
+
+
+def _alike(names: Column, name: Column) -> Column:
+    """The names with the normal form of one of them, which is among them; none for null."""
+    return F.filter(names, lambda x: name.isNotNull() & ((x == name) | (text.normalize(x) == text.normalize(name))))
 
 
 _SIDE = "struct<role: int, by_entity: boolean, by_period: boolean, doc_unit: boolean, steps: array<struct<parts: array<array<int>>, loose: boolean>>>"
@@ -181,7 +237,7 @@ _CHECK = f"struct<name: string, sides: array<{_SIDE}>, absolute: double, relativ
 
 
 def _as_data(checks: Sequence[Check]) -> tuple[Column, Column, Column]:
-    """The checks, with numbers for roles and strategies, and the strategies' names and whether they add up, as constants.
+    """The checks, with numbers for roles and strategies, and the strategies' names and kinds, as constants.
 
     One expression then stands for all checks, steps and strategies, however many they are.
     """
@@ -193,19 +249,20 @@ def _as_data(checks: Sequence[Check]) -> tuple[Column, Column, Column]:
 
     every = [{"name": c.name, "sides": [side(c.a), side(c.b)], **{f: getattr(c, f) for f in ("absolute", "relative", "differs", "scaled", "magnitude", "needs_year")}} for c in checks]
     told = lambda data, kind: F.from_json(F.lit(json.dumps(data)), kind)
-    return told(every, f"array<{_CHECK}>"), told([s.name for s in known], "array<string>"), told([s.kind in SUMS for s in known], "array<boolean>")
+    return told(every, f"array<{_CHECK}>"), told([s.name for s in known], "array<string>"), told([s.kind for s in known], "array<string>")
 
 
 def _first(found: Column) -> Column:
     return _bound(F.filter(found, lambda x: x.isNotNull()), lambda xs: F.get(xs, 0))
 
 
-def _found(side: Column, fit: Column, year: Column, doc: Column, names: Column, sums: Column) -> Column:
+def _found(side: Column, fit: Column, year: Column, doc: Column, names: Column, kinds: Column, n_known: int) -> Column:
     """(value, unit, origin, n) of the first step of a side that finds something in the cells that fit."""
     n = lambda cells: F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"])
 
     def one(k: Column) -> Column:
-        mine = F.filter(fit, lambda c: (c["strategy"] == k) & (c["year"].isNull() | (c["year"] == year) | (c["year"] == year % 100)))
+        timely = lambda c: F.exists(c["years"], lambda y: (y == year) | (y == year % 100))
+        mine = F.filter(fit, lambda c: _bit_of(c["hits"], k, n_known) & ((F.get(kinds, k) != "year") | timely(c)))
 
         def value(m: Column) -> Column:
             units_of = F.array_distinct(F.transform(F.filter(m, lambda c: c["unit"].isNotNull()), lambda c: c["unit"]))
@@ -213,7 +270,9 @@ def _found(side: Column, fit: Column, year: Column, doc: Column, names: Column,
             total = F.aggregate(m, F.lit(0.0), lambda a, c: a + c["sum"].cast("double"))
             added = F.struct(total.alias("value"), F.when(side["doc_unit"], doc["unit"]).otherwise(most).alias("unit"), F.get(names, k).alias("origin"), n(m).alias("n"))
             picked = lambda b: F.struct(b["value"].cast("double").alias("value"), F.nullif(b["unit"], F.lit("")).alias("unit"), F.concat(F.get(names, k), F.lit(": "), b["label"]).alias("origin"), F.lit(1).cast("long").alias("n"))
-            return F.when(F.size(m) > 0, F.when(F.get(sums, k), added).otherwise(_bound(F.array_min(F.transform(m, lambda c: c["best"])), picked)))
+            best = lambda c: F.when(F.get(kinds, k) == "structure", c["longest"]).otherwise(c["best"])
+            lines = F.transform(m, lambda c: _bound(best(c), lambda b: F.struct(*(b[x].alias(x) for x in ("c", "l", "label", "value")), F.coalesce(c["unit"], F.lit("")).alias("unit"))))
+            return F.when(F.size(m) > 0, F.when(F.get(kinds, k).isin(*SUMS), added).otherwise(_bound(F.array_min(lines), picked)))
 
         return _bound(mine, value)
 
@@ -231,13 +290,14 @@ def _found(side: Column, fit: Column, year: Column, doc: Column, names: Column,
     return _first(F.transform(side["steps"], step))
 
 
-def _valued(side: Column, doc: Column, name: Column, year: Column, names: Column, sums: Column) -> Column:
+def _valued(side: Column, doc: Column, name: Column, year: Column, names: Column, kinds: Column, n_known: int) -> Column:
     entity = F.when(side["by_entity"], _entity_column(doc, name))
     column = F.when(side["by_period"], _period_column(doc, year))
 
     def within(keys: Column) -> Column:
-        mine = F.filter(doc["cells"], lambda c: (keys["entity"].isNull() | (c["entity"].isNotNull() & (c["entity_key"] == keys["entity"]))) & (keys["period"].isNull() | (c["period"].isNotNull() & (c["period_key"] == keys["period"]))))
-        return _bound(mine, lambda cells: _found(side, cells, year, doc, names, sums))
+        fits = lambda c, field: keys[field].isNull() | (c[field].isNotNull() & F.array_contains(keys[field], c[field]))
+        mine = F.filter(doc["cells"], lambda c: fits(c, "entity") & fits(c, "period"))
+        return _bound(mine, lambda cells: _found(side, cells, year, doc, names, kinds, n_known))
 
     return _bound(F.struct(entity.alias("entity"), column.alias("period")), within)
 
@@ -287,7 +347,7 @@ def reconciled(lines: DataFrame, documents: DataFrame, targets: DataFrame, check
     check's own. Repeated targets are one; lines of unknown documents count for nothing.
     """
     roles = _roles(checks)
-    every, names, sums = _as_data(checks)
+    every, names, kinds = _as_data(checks)
     picks = picked_documents(targets, documents, checks).join(aggregated(lines, checks), "doc_id", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(dict(picks.dtypes)[c])).alias(c)
     whole = F.struct("doc_id", "owner", empty("cells"), empty("entities"), empty("periods"), "unit")
@@ -302,7 +362,7 @@ def reconciled(lines: DataFrame, documents: DataFrame, targets: DataFrame, check
 
     def result(check: Column) -> Column:
         years = F.filter("_years", lambda y: y.isNotNull() | ~check["needs_year"])
-        valued = lambda y: F.transform(check["sides"], lambda side: _bound(doc_of(side), lambda doc: _valued(side, doc, F.col("entity_name"), y, names, sums)))
+        valued = lambda y: F.transform(check["sides"], lambda side: _bound(doc_of(side), lambda doc: _valued(side, doc, F.col("entity_name"), y, names, kinds, len(_strategies(checks)))))
         compared = F.transform(F.transform(years, lambda y: F.struct(y.alias("year"), valued(y).alias("sides"))), lambda x: _compared(check, x))
         there = F.forall(check["sides"], lambda side: doc_of(side).isNotNull())
         return _bound(compared, lambda ys: _verdict(check, there, ys))
@@ -316,10 +376,10 @@ def by_document(documents: DataFrame, periods: DataFrame, takes: DataFrame) -> D
 
     takes: check, doc_type. Its own period comes first, then those that share a year, by name.
     """
-    mine = documents.select("case_id", "doc_id", "doc_type", "entity_id", F.col("ref").alias("own_ref")).join(F.broadcast(takes), "doc_type")
-    both = mine.join(periods.select("case_id", "ref").distinct(), "case_id")
+    mine = documents.select("case_id", "doc_id", "doc_type", "entity_id", F.col("ref").alias("own_ref"), period.years(F.col("ref")).alias("_own")).join(F.broadcast(takes), "doc_type")
+    both = mine.join(periods.select("case_id", "ref").distinct().withColumn("_years", period.years(F.col("ref"))), "case_id")
     own = F.col("ref").eqNullSafe(F.col("own_ref"))
-    return both.where(own | F.coalesce(period.compatible(F.col("ref"), F.col("own_ref")), F.lit(True))).withColumn("place", F.struct((~own).alias("later"), F.col("ref").alias("name")))
+    return both.where(own | F.coalesce(period.share_a_year(F.col("_years"), F.col("_own")), F.lit(True))).drop("_own", "_years").withColumn("place", F.struct((~own).alias("later"), F.col("ref").alias("name")))
 
 
 def first_met(tried: DataFrame, results: DataFrame) -> DataFrame:
