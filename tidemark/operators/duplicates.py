@@ -29,9 +29,12 @@ def vectors(lines: DataFrame, scope: Sequence[str], section: str, label: str, co
     rows = lines.where(F.col(value).isNotNull() & (F.col(value) != 0) & F.col(section).isNotNull() & (F.col(section) != UNCLASSIFIED))
     for c in columns:
         rows = rows.where(F.col(c).isNotNull())
-    key = text.normalize(F.col(label)).alias("key")
-    sub = F.collect_set(text.normalize(F.col(subsection)))
-    cells = rows.groupBy(*scope, F.col(section).alias("section"), key, *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns))).agg(F.min(value).alias("v"), F.max(value).alias("_most"), F.min(label).alias("shown"), F.array_sort(sub).alias("subs")).where("v = _most")
+    # lines that say the same are one row before any label is read: numbers alone are combined by hash
+    at = {f"c{k}": F.col(c) for k, c in enumerate(columns)}
+    same = rows.groupBy(*scope, F.col(section).alias("section"), F.col(label).alias("_label"), F.col(subsection).alias("_sub"), *(c.alias(n) for n, c in at.items())).agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
+    key = text.normalize(F.col("_label")).alias("key")
+    sub = F.collect_set(text.normalize(F.col("_sub")))
+    cells = same.groupBy(*scope, "section", key, *at).agg(F.min("_least").alias("v"), F.max("_most").alias("_most"), F.min("_label").alias("shown"), F.array_sort(sub).alias("subs")).where("v = _most")
     place = F.struct(*(f"c{k}" for k in range(len(columns)))).alias("at")
     out = cells.groupBy(*scope, "section", "key").agg(F.array_sort(F.collect_list(F.struct(place, "v", "shown", "subs"))).alias("cells"))
     vector = F.transform("cells", lambda c: F.struct(c["at"].alias("at"), c["v"].alias("v")))
