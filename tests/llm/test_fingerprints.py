@@ -59,3 +59,24 @@ def test_banded_join_on_the_whole_table_and_edges(spark, sf):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(edges).collect()}
     assert (got[1], got[2], got[6], got[3], got[8], got[None]) == (1, 1, 5, 3, 8, None)
     assert minhash.near_duplicates(edges.limit(0)).count() == 0
+
+
+def test_long_lists_of_bands_are_not_compared_all_with_all(spark, monkeypatch):
+    """Texts that share a passage meet in long lists, but few of their pairs can be similar."""
+    from tests.llm.test_jaccard_join import brute, found
+    from tidemark.llm import jaccard_join
+
+    passage = [f"p{i}" for i in range(240)]
+    texts = [" ".join([*passage, *(f"u{k}x{i}" for i in range(160))]) for k in range(150)]
+    # copies of some texts: similar ones, and ones that share about four fifths
+    texts += [t + " more" for t in texts[:10]] + [" ".join(t.split()[: 330 + 2 * k]) for k, t in enumerate(texts[5:15])]
+    rows = [(i * 37 % 170, t) for i, t in enumerate(texts)]
+    compared, verified = [], jaccard_join._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    assert found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert compared[1] <= 4 * len(rows), compared

@@ -304,11 +304,13 @@ def classes_of(docs: DataFrame, text: str, scratch: Scratch, rows_too: bool = Fa
     return classes, sets
 
 
-def settled(lists: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+def settled(lists: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch, longest: int | None = None) -> DataFrame:
     """(node, component) of all linked sets, from the lists (key, parts, doc_id, n, place and heads) they meet in.
 
     Every pair of a list whose sets can be similar is compared, or known to be of one
-    component already; sets (doc_id, text) holds the texts of all ids.
+    component already; sets (doc_id, text) holds the texts of all ids. Where `longest` is
+    given, sets of longer lists are only compared where they also share a shingle of their
+    prefixes, as all similar ones do.
     """
     # every set with the two sets that its lists name, and those of parts with those of the whole
     ordered = lambda x: x.where("a <> b").where(_possible(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -324,20 +326,46 @@ def settled(lists: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch)
     # whatever is together in a list and not known to belong together
     labelled = lists.select("key", "doc_id", "n", "place").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.select("key", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c"))
-    open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_keys = scratch.save(open_keys, "open_keys")
-    labelled = scratch.save(labelled.join(open_keys, "key", "left_semi"), "open")
-    side = lambda x: labelled.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "place", "c")))
-    rest = side("a").join(side("b"), "key").where("doc_id_a < doc_id_b and c_a <> c_b").where(_possible(threshold))
-    rest = rest.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    labelled = _open(labelled, scratch, "open")
+    rest = _met(labelled.where(F.col("k") <= longest) if longest else labelled, threshold)
+    if longest:
+        rest = rest.union(_met(_prefixed(labelled.where(F.col("k") > longest), sets, threshold, scratch), threshold))
+    rest = rest.distinct().join(near, ["a", "b"], "left_anti")
     more = scratch.save(_verified(scratch.save(rest, "rest"), sets, threshold), "more")
     stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = components(stars.union(more), scratch, "second")
     found = scratch.save(found, "parts")
-    scratch.drop("open", "open_keys", "rest", "near", "links", "more", "known")
+    scratch.drop("open", "open_keys", "prefixes", "prefixes_open", "prefixes_open_keys", "rest", "near", "links", "more", "known")
     return found
 
 
+def _open(labelled: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The lists (key, doc_id, n, place, c) whose sets are of several components c, with their length k."""
+    keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("key", "k")
+    return scratch.save(labelled.join(scratch.save(keys, f"{name}_keys"), "key"), name)
+
+
+def _met(labelled: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of a list that are of two components and can be similar.
+
+    The smaller set of such a pair has its shared shingle early, in the part of its order
+    that it can lack; the few rows for which this holds are joined with all.
+    """
+    side = lambda x: labelled.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "place", "c")))
+    early = side("a").where(F.greatest("place_a", F.lit(0)) * (100 + threshold) <= F.col("n_a") * (100 - threshold))
+    both = early.join(side("b"), "key").where("c_a <> c_b and (n_a < n_b or n_a = n_b and doc_id_a < doc_id_b)").where(_possible(threshold))
+    return both.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
+
+
+def _prefixed(labelled: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """The sets of some lists in other lists, of the shingles of their prefixes, so that similar ones still meet."""
+    of = labelled.select("doc_id", "c").distinct()
+    texts = sets.select("doc_id", "text").join(of.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    counts = sets.sparkSession.sparkContext.broadcast(_counted(texts))
+    keys = _keys(texts, counts, 0, threshold).join(of, "doc_id").select("key", "doc_id", "n", "place", "c")
+    return _open(scratch.save(keys, "prefixes"), scratch, "prefixes_open")
+
+
 def _similar(a: tuple, b: tuple, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of two blocks (ids, members, sizes, values) whose sets are similar."""
     n, m = a[2], b[2]

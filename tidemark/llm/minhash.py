@@ -36,6 +36,8 @@ from .common import Scratch
 PERMUTATIONS, WORDS = 128, 5
 #: Rows of a band: 32 bands of 4 find a pair of similarity 0.8 with probability 1 - 5e-8.
 BAND_ROWS = 4
+#: Sets of a band's list whose pairs are all compared; in longer lists only those that share a rare shingle.
+LONGEST = 4
 
 _rng = np.random.default_rng(1729)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -213,7 +215,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") ->
 
     Sets that share a band of the signature meet in a list; the sets of a list are
     verified against each other on all their shingles, as in the Jaccard join, so that
-    what a band finds is exact. threshold is in hundredths.
+    what a band finds is exact. Of lists longer than LONGEST only those sets are compared
+    that share a shingle of their prefixes, as all similar ones do. threshold is in hundredths.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     classes, sets = jaccard_join.classes_of(docs, text, scratch)
@@ -234,7 +237,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") ->
     bare = [F.lit(-1).alias(c) for c in ("place", "first_place", "any_place")]
     lists = keys.join(shared, "key").select("key", F.lit(1).alias("parts"), "doc_id", "n", *named, *bare)
     lists = scratch.save(lists, "lists")
-    found = jaccard_join.settled(lists, sets, threshold, scratch).withColumnRenamed("node", "class_id")
+    found = jaccard_join.settled(lists, sets, threshold, scratch, LONGEST).withColumnRenamed("node", "class_id")
     scratch.drop("keys", "shared", "lists", "rows", "heads")
     scratch.drop_bucketed("sets")
     return jaccard_join.by_class(classes, found)
