@@ -1,12 +1,13 @@
 """Every stage against brute force on what its predecessor kept."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import Union, edge_docs, shingles, words
 from tests.llm.test_mixing import targets
-from tidemark.llm import pii
+from tidemark.llm import common, pii, quality
 
 
 def test_stages(spark, tmp_path):
@@ -109,3 +110,38 @@ def test_two_results_stand_side_by_side(spark, labelled):
     second = stage(spark, docs.where("doc_id in (1, 2)"), labelled)
     assert second.count() == 1 and dict(corpus_pipeline.STAGES)["personal_data"](spark, second, labelled).count() == 1
     assert first.count() == docs.count() - 2
+
+
+def batch_sizes(spark, path):
+    """Bytes of the batches that Python workers get of a table of one partition."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    return [r["n"] for r in spark.read.parquet(path).mapInArrow(run, "n long").collect()]
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "pieces"])
+def test_workers_get_bounded_batches(spark, tmp_path, name):
+    path = f"{tmp_path}/documents"
+    long = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "concat('w', id, repeat(' long text', 300)) as text", "'en' as lang", "'a' as source", "3000L as n_chars")
+    long.write.parquet(path)
+    own = spark.newSession()
+    dict(corpus_pipeline.STAGES)[name](own, own.read.parquet(path).limit(20), "/root/testdata/sf0.001")
+    sizes = batch_sizes(own, path)
+    assert sum(sizes) > 3 * common.BATCH_BYTES and max(sizes) < 1.2 * common.BATCH_BYTES
+
+
+def test_bound_of_the_session_stays(spark, sf):
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20)
+    common.small_batches(own)
+    assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 1 << 20
+
+
+def test_slices_of_short_texts_are_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["", None] * 5000, pa.string())], names=["doc_id", "text"])
+    parts = list(quality._slices(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert max(8 * quality.WIDTH * p.num_rows for p in parts) <= quality.SLICE

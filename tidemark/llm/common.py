@@ -9,6 +9,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that Spark hands to a Python worker at once. A batch lies in the executor's direct memory more
+#: than once and in the worker's again, all beside the heap; by itself Spark stops at 64 MB or 10,000 rows.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, where it has no bound of its own.
+
+    The bound is read when a plan runs, which is after its operator has returned; so it stays.
+    """
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .common import Scratch
+from .common import Scratch, small_batches
 from .components import components
 
 WORDS, THRESHOLD = 5, 80
@@ -290,6 +290,7 @@ def classes_of(docs: DataFrame, text: str, scratch: Scratch, rows_too: bool = Fa
     With rows_too the second also has the other columns of the rows, as a struct `row`. Texts
     are moved once, into the buckets, and later steps read them there.
     """
+    small_batches(docs.sparkSession)
     rows = scratch.save(_described(docs, text), "rows")
     usable = rows.where("n > 0 and doc_id is not null")
     # tables of their own, so that Spark can split the hot keys of the joins with them

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
+from .common import small_batches
 
 SPACE = "▁"
 #: Threads of one encoding worker; a worker is a task of Spark, which has a core of its own.
@@ -265,6 +266,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", id_col
     32,000 pieces, are broadcast. round_trip: the pieces decode to the text; differing:
     words of the row's batch whose pieces are not those of the reference library.
     """
+    small_batches(docs.sparkSession)
     with open(model or default_model(), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 

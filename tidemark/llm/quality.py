@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import logistic, vectext
+from .common import small_batches
 from .language_id import held_out_fold
 
 #: Labelled rows a class that the classifiers are fitted on, at most.
@@ -57,6 +58,9 @@ for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRST
 _CLASS[128:192] = 14
 _CLASS[192:] = 15
 _SOURCES, _LANGS = 32, 8
+#: Numbers of both views of a row; bytes of texts and views that a worker has in hand at once.
+WIDTH = CLASSES**2 + 9 + _SOURCES + _LANGS + 4
+SLICE = 1 << 20
 
 
 def content_features(column) -> np.ndarray:
@@ -116,6 +120,10 @@ def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return content_features(part.column(1)), metadata_features(part.column(1), part.column(2), part.column(3), part.column(4))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return vectext.slices(batch, most=SLICE, each=8 * WIDTH)
+
+
 def _needed(docs: DataFrame) -> DataFrame:
     """The columns that the views need; missing ones count as null."""
     have = set(docs.columns)
@@ -128,7 +136,7 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in vectext.slices(batch):
+            for part in _slices(batch):
                 a, b = _views(part)
                 both = np.hstack([a, b]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), vectext.lists(both.ravel(), np.full(len(both), both.shape[1]), pa.float32())], names=["doc_id", "cls", "x"])
@@ -232,7 +240,7 @@ def _handed_by_all(docs: DataFrame, chosen: DataFrame) -> Callable[[list], list[
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = [np.zeros(n) for n in size]
             for batch in batches:
-                for part in vectext.slices(batch):
+                for part in _slices(batch):
                     for have, more in zip(total, handed(shared.value, _views(part)), strict=True):
                         have += more
             flat = np.concatenate(total)
@@ -258,6 +266,7 @@ def _handed_by_all(docs: DataFrame, chosen: DataFrame) -> Callable[[list], list[
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict | None:
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("cls"))
     present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     rates = {r["cls"]: r["n"] for r in present.groupBy("cls").agg(F.count("*").alias("n")).collect()}
@@ -273,12 +282,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def score(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
     """(doc_id, text_score, meta_score, score, kept) of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in vectext.slices(batch):
+            for part in _slices(batch):
                 if m:
                     z = np.stack([logistic.predict(own, logistic.predict(view, x)[:, None]) for (view, own), x in zip(m["views"], _views(part), strict=True)], 1)
                     all_p = [logistic.sigmoid(z[:, 0]), logistic.sigmoid(z[:, 1]), logistic.sigmoid(logistic.predict(m["both"], z))]
@@ -310,7 +320,7 @@ def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in vectext.slices(batch, "text"):
+            for part in _slices(batch):
                 if m:
                     empty = {2: pa.string(), 3: pa.string(), 4: pa.int64()}
                     needed = [part.column(i) if i >= 0 else pa.nulls(part.num_rows, empty[k]) for k, i in enumerate(at)]

@@ -60,9 +60,10 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batch cut into runs of rows of about `most` bytes, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21, each: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows of about `most` bytes, one row at least; each: bytes that a row has besides its text."""
     _, offs = utf8(batch.column(batch.schema.get_field_index(column)))
+    offs = offs + each * np.arange(len(offs))
     i, n = 0, batch.num_rows
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
